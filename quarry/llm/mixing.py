@@ -121,7 +121,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         # each domain's error weighs by the inverse of its share: rare domains move as fast as frequent ones
         move = sum(F.col(f"p{i}") * float(e / (s + SHRINK)) for i, (e, s) in enumerate(zip(error, share)))
         rate = F.greatest(F.lit(0.0), rate - move)
-    best = F.greatest(*[F.col(f"p{i}") for i in range(len(names))])
+    best = F.array_max(F.array(*[F.col(f"p{i}") for i in range(len(names))]))
     domain = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(n)) for i, n in enumerate(names)])
     u = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     out = told.select("id", "k", "tokens", domain.alias("domain"), best.alias("domain_p"), rate.alias("rate"))

@@ -83,7 +83,7 @@ def weak_label_model(patterns: dict[int, int], rounds: int = 200) -> tuple[float
         p[:, 1, 1] = 1 - p[:, 1, 0]
         score = np.log(share / (1 - share)) + sum(np.log(p[i, 1, v[:, i]] / p[i, 0, v[:, i]]) for i in range(m))
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - good).max() < 1e-6:
+        if np.abs(new - good).max(initial=0) < 1e-6:
             break
         good = new
     return share, p, {int(k): float(g) for k, g in zip(keys, good)}

@@ -76,19 +76,25 @@ def _looked_up(odds: Column):
     return lambda w: F.element_at(odds, w)
 
 
-def posteriors(text: Column, model: dict) -> list[Column]:
-    """Expressions of each domain's probability."""
+def observed(text: Column, model: dict) -> list[Column]:
+    """What the posteriors look at: the shares, and which words of the lexicon there are."""
+    words = sorted(model["lexicon"])
+    present = F.array_intersect(_words(text), F.array(*[F.lit(w) for w in words])) if words else F.array().cast("array<string>")
+    return [*[c.alias(n) for n, c in zip(_SHARES, _shape(text))], present.alias("present")]
+
+
+def posteriors(model: dict) -> list[Column]:
+    """Expressions of each domain's log probability, up to a term in common, over the columns of observed()."""
     size, words = sum(model["n"]), sorted(model["lexicon"])
-    present = F.array_intersect(_words(text), F.array(*[F.lit(w) for w in words]).cast("array<string>")) if words else None
     logs = []
     for i, n in enumerate(model["n"]):
         z = F.lit(math.log(n / size) + sum(math.log1p(-min(0.999, model["lexicon"][w][i])) for w in words))
-        for c, (mean, var) in zip(_shape(text), model["gauss"][i]):
-            z = z - F.pow(c - mean, 2) / (2 * var) - 0.5 * math.log(var)
+        for c, (mean, var) in zip(_SHARES, model["gauss"][i]):
+            z = z - F.pow(F.col(c) - mean, 2) / (2 * var) - 0.5 * math.log(var)
         if words:
             seen = {w: min(0.999, model["lexicon"][w][i]) for w in words}
             odds = F.create_map(*[F.lit(x) for w in words for x in (w, math.log(seen[w]) - math.log1p(-seen[w]))])
-            z = z + F.aggregate(F.transform(present, _looked_up(odds)), F.lit(0.0), lambda a, x: a + x)
+            z = z + F.aggregate(F.transform("present", _looked_up(odds)), F.lit(0.0), lambda a, x: a + x)
         logs.append(z)
     return logs
 
@@ -99,7 +105,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = fit_classifier(own, labels) or {"domains": ["all"], "n": [1], "gauss": [[(0.0, 1.0)] * len(_SHARES)], "lexicon": {}}
     names = model["domains"]
     text = F.coalesce("text", F.lit(""))
-    scored = own.select("id", "k", n_tokens(text).alias("tokens"), F.array(*posteriors(text, model)).alias("z"))
+    # written first, so that every text is read once and not once a domain
+    features = written(own.select("id", "k", n_tokens(text).alias("tokens"), *observed(text, model)))
+    scored = features.select("id", "k", "tokens", F.array(*posteriors(model)).alias("z"))
     scored = scored.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z")))).withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     told = written(scored.select("id", "k", "tokens", *[(F.col("e")[i] / F.col("s")).alias(f"p{i}") for i in range(len(names))]))
 

@@ -22,18 +22,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, row_key, texts_of, written
+from .common import row_key, rows_by_size, texts_of, written
 
 CAPACITY, END = 2048, 0
 PRICED, ROUNDS, STEP, SEED = 96, 4000, 0.5, 7
 
 
-def word_ids(tokenizer_path: str):
-    """Token ids, as little-endian 32-bit bytes, of a run without ASCII white space; a text's ids are those of its runs, joined."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer_path)
-    return Memo(lambda w: np.array(tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes())
+class WordIds(dict):
+    """Token ids, as little-endian 32-bit bytes, of runs without ASCII white space; a text's ids are those of its runs, joined.
+
+    New runs are learnt many at a time. Case is folded by the tokenizer, and no token spans a letter and the punctuation after it, so a run
+    is looked up without either first. Runs of letters are single words to the tokenizer: they are encoded in one call and told
+    apart by their word-end tokens. Beyond `limit` entries all is forgotten, so memory stays flat.
+    """
+
+    PUNCTUATION = b".,;:!?*$%#&"
+
+    def __init__(self, tokenizer_path: str, limit: int = 800_000):
+        from tokenizers import Tokenizer
+
+        self.tok, self.limit, self.bases = Tokenizer.from_file(tokenizer_path), limit, {}
+        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _split(self, run: bytes) -> tuple[bytes, bytes]:
+        low = run if b"<|" in run else run.lower()  # special tokens are told by case
+        base = low.rstrip(self.PUNCTUATION)
+        return (base, low[len(base) :]) if base and 97 <= base[-1] <= 122 else (low, b"")
+
+    def learn(self, runs: set[bytes]) -> None:
+        if len(self) + len(runs) > self.limit:
+            self.clear()
+            self.bases.clear()
+        parts = {w: self._split(w) for w in runs if w not in self}
+        new = {x for pair in parts.values() for x in pair if x and x not in self.bases}
+        texts = [(x, x.decode("utf-8", "replace")) for x in new]
+        letters = [(x, t) for x, t in texts if t.isalpha()]
+        for i in range(0, len(letters), 20_000):
+            some = letters[i : i + 20_000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):  # a letter that the tokenizer drops or splits: one by one
+                texts += [(x, t) for x, t in some]
+                continue
+            raw = ids.tobytes()
+            self.bases.update((x, raw[a:b]) for (x, _), a, b in zip(some, [0, *cuts], cuts))
+        rest = [(x, t) for x, t in texts if x not in self.bases]
+        for (x, _), e in zip(rest, self.tok.encode_batch_fast([t for _, t in rest], add_special_tokens=False) if rest else []):
+            self.bases[x] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, (base, after) in parts.items():
+            self[w] = self.bases[base] + (self.bases[after] if after else b"")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -41,19 +80,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", row_key("id", "text"))
 
     def cut(batches):
-        memo = word_ids(tokenizer_path)
+        memo = WordIds(tokenizer_path)
         end = np.array([END], dtype="<u4").tobytes()
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(texts_of(b)):
-                ids = b"".join([memo[w] for w in t.split()]) + end
-                n = len(ids) // 4
-                for p, s in enumerate(range(0, n, capacity)):
-                    row.append(i)
-                    piece.append(p)
-                    start.append(s)
-                    length.append(min(capacity, n - s))
-                    crc.append(zlib.crc32(ids[4 * s : 4 * (s + capacity)]))
+            texts = texts_of(b)
+            for first, last in rows_by_size(texts, 2_000_000):
+                words = [t.split() for t in texts[first:last]]
+                memo.learn(set().union(*words))
+                for i, ws in enumerate(words, first):
+                    ids = b"".join([memo[w] for w in ws]) + end
+                    n = len(ids) // 4
+                    for p, s in enumerate(range(0, n, capacity)):
+                        row.append(i)
+                        piece.append(p)
+                        start.append(s)
+                        length.append(min(capacity, n - s))
+                        crc.append(zlib.crc32(ids[4 * s : 4 * (s + capacity)]))
             take = pa.array(row, pa.int64())
             yield pa.record_batch({"id": b.column(0).take(take), "k": b.column(2).take(take), "piece": pa.array(piece, pa.int32()),
                                    "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})

@@ -24,7 +24,7 @@ from .common import row_key, written
 
 #: Shares of tokens after mixing. The label classes not named here keep their natural share.
 TARGETS = {"q1t0": 0.96, "q0t0": 0.02, "q1t1": 0.02}
-SAMPLE, LEXICON, STEPS, SHRINK = 20_000, 24, 25, 1e-3
+SAMPLE, LEXICON, STEPS, SHRINK = 8000, 24, 25, 1e-3
 _SHARES = ("symbols", "capitals", "letters")
 
 
@@ -38,12 +38,8 @@ def _shape(text: Column) -> list[Column]:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.split(F.regexp_replace(F.lower(text), "[!-/:-@\\[-`{-~]+", " "), "[ \\x09-\\x0D]+"))
-
-
-def n_tokens(text: Column) -> Column:
-    """Words, as a measure of tokens: runs of anything but ASCII white space."""
-    return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("double")
+    """Runs of letters, lower-cased; other characters outside ASCII count as letters."""
+    return F.split(F.lower(text), "[\\x00-@\\[-`{-\\x7F]+")
 
 
 def fit_classifier(own: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
@@ -55,7 +51,7 @@ def fit_classifier(own: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> d
         return None
     part = named.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total)))
     joined = own.select("id", F.coalesce("text", F.lit("")).alias("text")).join(part, "id")
-    rows = written(joined.select("domain", *[c.alias(n) for n, c in zip(_SHARES, _shape(F.col("text")))], _words(F.col("text")).alias("words")))
+    rows = written(joined.select("domain", *[c.alias(n) for n, c in zip(_SHARES, _shape(F.col("text")))], F.array_distinct(_words(F.col("text"))).alias("words")))
     stats = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"a_{c}") for c in _SHARES], *[F.var_pop(c).alias(f"v_{c}") for c in _SHARES]).orderBy("domain").collect()
     if not stats:
         return None
@@ -76,11 +72,12 @@ def _looked_up(odds: Column):
     return lambda w: F.element_at(odds, w)
 
 
-def observed(text: Column, model: dict) -> list[Column]:
-    """What the posteriors look at: the shares, and which words of the lexicon there are."""
+def observed(model: dict) -> list[Column]:
+    """What the posteriors look at, over columns text and words: tokens (runs of letters), the shares, and which words of the lexicon there are."""
     words = sorted(model["lexicon"])
-    present = F.array_intersect(_words(text), F.array(*[F.lit(w) for w in words])) if words else F.array().cast("array<string>")
-    return [*[c.alias(n) for n, c in zip(_SHARES, _shape(text))], present.alias("present")]
+    present = F.array_intersect("words", F.array(*[F.lit(w) for w in words])) if words else F.array().cast("array<string>")
+    tokens = F.size("words") - F.when(F.element_at("words", 1) == "", 1).otherwise(0) - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
+    return [tokens.cast("double").alias("tokens"), *[c.alias(n) for n, c in zip(_SHARES, _shape(F.col("text")))], present.alias("present")]
 
 
 def posteriors(model: dict) -> list[Column]:
@@ -104,9 +101,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", row_key("id", "text"))
     model = fit_classifier(own, labels) or {"domains": ["all"], "n": [1], "gauss": [[(0.0, 1.0)] * len(_SHARES)], "lexicon": {}}
     names = model["domains"]
-    text = F.coalesce("text", F.lit(""))
     # written first, so that every text is read once and not once a domain
-    features = written(own.select("id", "k", n_tokens(text).alias("tokens"), *observed(text, model)))
+    split = own.select("id", "k", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", _words(F.col("text")))
+    features = written(split.select("id", "k", *observed(model)))
     scored = features.select("id", "k", "tokens", F.array(*posteriors(model)).alias("z"))
     scored = scored.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z")))).withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     told = written(scored.select("id", "k", "tokens", *[(F.col("e")[i] / F.col("s")).alias(f"p{i}") for i in range(len(names))]))

@@ -52,10 +52,12 @@ class WordIds(dict):
         return (base, low[len(base) :]) if base and 97 <= base[-1] <= 122 else (low, b"")
 
     def learn(self, runs: set[bytes]) -> None:
-        if len(self) + len(runs) > self.limit:
+        missing = [w for w in runs if w not in self]
+        if len(self) + len(missing) > self.limit:
             self.clear()
             self.bases.clear()
-        parts = {w: self._split(w) for w in runs if w not in self}
+            missing = list(runs)
+        parts = {w: self._split(w) for w in missing}
         new = {x for pair in parts.values() for x in pair if x and x not in self.bases}
         texts = [(x, x.decode("utf-8", "replace")) for x in new]
         letters = [(x, t) for x, t in texts if t.isalpha()]
@@ -75,12 +77,22 @@ class WordIds(dict):
             self[w] = self.bases[base] + (self.bases[after] if after else b"")
 
 
+_LEARNT: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One for each Python worker, so that its later tasks know the words of earlier ones."""
+    if tokenizer_path not in _LEARNT:
+        _LEARNT[tokenizer_path] = WordIds(tokenizer_path)
+    return _LEARNT[tokenizer_path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, k, piece, start, length, ids_crc32) of every document, the end token included."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", row_key("id", "text"))
 
     def cut(batches):
-        memo = WordIds(tokenizer_path)
+        memo = word_ids(tokenizer_path)
         end = np.array([END], dtype="<u4").tobytes()
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []

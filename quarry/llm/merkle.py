@@ -33,19 +33,28 @@ def _leaves(paragraph: Column) -> Column:
     return F.transform(chunks, lambda c: F.right(F.lpad(F.lower(F.hex(F.crc32(F.rtrim(c).cast("binary")))), 8, "0"), F.lit(6)))
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fingerprint(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.struct(_node(p).alias("node"), _leaves(p).alias("leaves")))
-    starts = F.sequence(F.lit(1), F.size(paragraphs), F.lit(SECTION))
+    split = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    paragraphs = F.transform(split, lambda p: F.struct(_node(p).alias("node"), _leaves(p).alias("leaves")))
 
     def told(section: Column) -> Column:
         node = _node(F.array_join(F.transform(section, lambda p: p["node"]), ""))
         below = F.transform(section, lambda p: F.concat_ws(" ", F.concat(F.lit("P"), F.left(p["node"], F.lit(8))), p["leaves"]))
         return F.struct(node.alias("node"), F.concat_ws(" ", F.concat(F.lit("S"), F.left(node, F.lit(8))), below).alias("told"))
 
-    sections = F.transform(F.transform(starts, lambda i: F.slice(paragraphs, i, SECTION)), told)
-    root = _node(F.array_join(F.transform(sections, lambda s: s["node"]), ""))
-    return F.concat_ws(" ", root, F.transform(sections, lambda s: s["told"]))
+    def sections(ps: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(ps), F.lit(SECTION))
+        return F.transform(F.transform(starts, lambda i: F.slice(ps, i, SECTION)), told)
+
+    def whole(ss: Column) -> Column:
+        return F.concat_ws(" ", _node(F.array_join(F.transform(ss, lambda s: s["node"]), "")), F.transform(ss, lambda s: s["told"]))
+
+    return _let(_let(paragraphs, sections), whole)
 
 
 def root(fp: Column) -> Column:

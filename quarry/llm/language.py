@@ -14,6 +14,7 @@ documents with a null language only get predictions; repeated rows get the same
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import rows_by_size, texts_of
 
 DOCS, WORDS, HIDDEN, STEPS, BATCH, LONGEST = 2500, 60_000, 16, 500, 256, 48
 HELD_OUT = 2
@@ -134,9 +135,12 @@ def train(words: list[tuple[bytes, np.ndarray]], classes: int, steps: int = STEP
 
 
 class Reader:
-    """Pooled label log-probabilities of words, each different word run once (until more than `limit` are held)."""
+    """Pooled label log-probabilities of words, each different word run once (until more than `limit` are held).
 
-    def __init__(self, net: Network, classes: int, limit: int = 400_000):
+    Words are best learnt many at a time: those of one length run through the network together.
+    """
+
+    def __init__(self, net: Network, classes: int, limit: int = 600_000):
         self.net, self.limit, self.place, self.table, self.used = net, limit, {}, np.zeros((4096, classes), np.float32), 0
 
     def learn(self, words: set[bytes]) -> None:
@@ -150,8 +154,7 @@ class Reader:
             self.place[w] = self.used + i
             for s in segments(w):
                 by.setdefault(len(s), []).append((self.used + i, s))
-        total = np.zeros((len(new), self.table.shape[1]), np.float32)
-        size = np.zeros(len(new), np.float32)
+        total, size = np.zeros((len(new), self.table.shape[1]), np.float32), np.zeros(len(new), np.float32)
         for k, group in by.items():
             for i in range(0, len(group), 4096):
                 part = group[i : i + 4096]
@@ -166,11 +169,26 @@ class Reader:
         z = np.zeros(self.table.shape[1])
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
-            self.learn(set(part))
-            z += self.table[[self.place[w] for w in part]].sum(0, dtype=float)
+            try:
+                at = [self.place[w] for w in part]
+            except KeyError:
+                self.learn(set(part))
+                at = [self.place[w] for w in part]
+            z += self.table[at].sum(0, dtype=float)
         return z
 
 
+_READERS: dict[str, Reader] = {}
+
+
+def reader_of(name: str, net: Network, classes: int) -> Reader:
+    """One for each Python worker and model, so that its later tasks know the words of earlier ones; older models go."""
+    if name not in _READERS:
+        _READERS.clear()
+        _READERS[name] = Reader(net, classes)
+    return _READERS[name]
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_at_most: int = DOCS) -> tuple[list[str], Network | None]:
     taught = docs.where((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sample = taught.select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).orderBy("h", "lang", "text").limit(docs_at_most)
@@ -194,21 +212,27 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id, held_out, lang_pred, score)."""
     langs, net = learn(docs, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast(net)
+    name = uuid.uuid4().hex
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (fold(id_col) == HELD_OUT).alias("held_out"))
 
     def predict(batches):
-        reader = Reader(model.value, len(langs)) if langs else None
+        reader = reader_of(name, model.value, len(langs)) if langs else None
         for b in batches:
-            names, scores = [], []
-            for t in texts_of(b):
-                if reader is None or not any(map(str.isalpha, t.decode("utf-8", "replace"))):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                z = reader.document(words_in(t))
-                p = np.exp(z - z.max())
-                names.append(langs[int(z.argmax())])
-                scores.append(float(p.max() / p.sum()))
+            names, scores, texts = [], [], texts_of(b)
+            for first, last in rows_by_size(texts, 2_000_000):
+                decoded = [t.decode("utf-8", "replace") for t in texts[first:last]]
+                words = [t.lower().encode().split() if reader and any(map(str.isalpha, t)) else [] for t in decoded]
+                if reader and last - first > 1:  # a text of that size by itself is learnt part by part
+                    reader.learn(set().union(*words))
+                for ws in words:
+                    if not ws:
+                        names.append("und")
+                        scores.append(0.0)
+                        continue
+                    z = reader.document(ws)
+                    p = np.exp(z - z.max())
+                    names.append(langs[int(z.argmax())])
+                    scores.append(float(p.max() / p.sum()))
             yield pa.record_batch({"id": b.column(0), "held_out": b.column(2), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     out = own.mapInArrow(predict, T.StructType([own.schema["id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

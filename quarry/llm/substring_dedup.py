@@ -8,7 +8,9 @@ of all tasks are merged where they meet, and only one bit a cell ("counted twice
 A window is entered by its smallest gram of `GRAM` words (leftmost on ties), so overlapping windows share an
 entry. Equal windows have equal smallest grams at different places, so a cell never underestimates the count
 of a window.
-Pass 2 emits only windows whose cells are all set, and groups them exactly, by 128 bits of the word sequence.
+Pass 2 emits only windows whose cells are all set, and groups them exactly, by 128 bits of the word sequence. What starts later
+than an equal window of the same chunk of texts goes at once and never meets its group, so that a group gets a row or so a chunk,
+however frequent its window is.
 
 Cases: null text has no words; fewer words than a window are kept whole; rows alike in id and text get the
 same result and never remove each other; equal ids with different texts are ordered by a hash of the text;
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +119,32 @@ def sketch_bits(n_bytes: int, window: int) -> int:
     return int(np.clip(np.ceil(np.log2(2 * grams_expected + 1)), SLICE_BITS, MAX_BITS))
 
 
+def _later(hi: np.ndarray, lo: np.ndarray, seq: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows start later than an equal one of this chunk. seq: the place of each window's document in (id, key) order, equal for equal rows."""
+    later = np.zeros(len(hi), dtype=bool)
+    order = np.lexsort([start, seq])
+    order = order[np.argsort(hi[order], kind="stable")]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later[order] = (seq[order] != seq[first]) | (start[order] != start[first])
+    return later
+
+
+def _places(ids: pa.Array, keys: np.ndarray) -> np.ndarray | None:
+    """The dense rank of each row by (id, key), null ids last; None for types whose order may differ from Spark's."""
+    t = ids.type
+    if not (pa.types.is_integer(t) or pa.types.is_string(t) or pa.types.is_large_string(t)):
+        return None
+    rank = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    order = np.lexsort([keys, rank])
+    new = np.zeros(len(order), dtype=np.int64)
+    new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (keys[order[1:]] != keys[order[:-1]])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(k, start): every window start, by row key, whose word sequence starts earlier elsewhere."""
     spark = docs.sparkSession
@@ -147,21 +176,35 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                 doc = np.searchsorted(ends, at, side="right")
                 hi = mixed(grams(np.ascontiguousarray(h[:, 0]), window, A2))[at]
                 lo = mixed(grams(np.ascontiguousarray(h[:, 1]), window, A3))[at]
+                start = (at - (ends - counts)[doc]).astype(np.int32)
+                seq = _places(ids.slice(i, j - i), keys[i:j])
+                if seq is not None:
+                    later = _later(hi, lo, seq[doc], start)
+                    gone_doc, gone = doc[later], start[later]
+                    cut = np.flatnonzero(np.diff(gone_doc, prepend=-1))  # a row a document, dealt by its key and place
+                    if len(cut):
+                        k = keys[i + gone_doc[cut]]
+                        yield pa.record_batch({
+                            "hi": pa.array(k), "lo": pa.array(i + gone_doc[cut]), "id": ids.take(pa.array(i + gone_doc[cut])), "k": pa.array(k),
+                            "start": pa.array(gone[cut]), "later": pa.ListArray.from_arrays(pa.array(np.append(cut, len(gone)).astype(np.int32)), pa.array(gone))})
+                    hi, lo, doc, start = hi[~later], lo[~later], doc[~later], start[~later]
                 take = pa.array(doc + i)
-                for k in range(0, len(at), 200_000):
+                for k in range(0, len(start), 200_000):
                     part = slice(k, k + 200_000)
                     yield pa.record_batch({
                         "hi": pa.array(hi[part].view(np.int64)), "lo": pa.array(lo[part].view(np.int64)),
-                        "id": ids.take(take[part]), "k": pa.array(keys[(doc + i)[part]]),
-                        "start": pa.array((at - (ends - counts)[doc])[part].astype(np.int32))})
+                        "id": ids.take(take[part]), "k": pa.array(keys[(doc + i)[part]]), "start": pa.array(start[part]),
+                        "later": pa.nulls(len(hi[part]), pa.list_(pa.int32()))})
 
     rows = docs.select("id", "k", "text").mapInArrow(suspects, T.StructType([
         T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), docs.schema["id"],
-        T.StructField("k", T.LongType()), T.StructField("start", T.IntegerType())]))
+        T.StructField("k", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("later", T.ArrayType(T.IntegerType()))]))
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("hi", "lo").orderBy(F.col("id").asc_nulls_last(), "k", "start")
-    return rows.withColumn("nth", F.rank().over(order)).where("nth > 1").select("k", "start")
+    told = F.col("later").isNotNull()
+    order = W.partitionBy("hi", "lo", told).orderBy(F.col("id").asc_nulls_last(), "k", "start")
+    gone = rows.withColumn("nth", F.rank().over(order)).where(told | (F.col("nth") > 1))
+    return gone.select("k", F.explode(F.coalesce("later", F.array("start"))).alias("start"))
 
 
 def _cutter(window: int, schema: pa.Schema):

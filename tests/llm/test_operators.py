@@ -307,3 +307,23 @@ def test_nearest(spark):
     assert nearest.nearest(frame.limit(0)).count() == 0
     few = nearest.nearest(frame.where("vec_id < 5")).toPandas()
     assert isinstance(few, pd.DataFrame) and len(few) == 4
+
+
+def test_windows_that_start_later_in_a_chunk():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.llm.substring_dedup import _later, _places
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 400):
+        ids, keys = pa.array([None if x == 4 else int(x) for x in rng.integers(0, 5, 20)], pa.int64()), rng.integers(-2, 2, 20)
+        doc, start = np.sort(rng.integers(0, 20, n)), rng.integers(0, 6, n).astype(np.int32)
+        hi, lo = rng.integers(0, 9, n).astype(np.uint64), rng.integers(0, 2, n).astype(np.uint64)
+        lo[:] = hi % np.uint64(2)
+        triple = [((i := ids[d].as_py()) is None, i or 0, int(keys[d]), int(s)) for d, s in zip(doc, start)]
+        least = {}
+        for w, t in zip(hi.tolist(), triple):
+            least[w] = min(t, least.get(w, t))
+        assert _later(hi, lo, _places(ids, keys)[doc], start).tolist() == [t > least[w] for w, t in zip(hi.tolist(), triple)]
+    assert _places(pa.array([0.5]), np.zeros(1, np.int64)) is None

@@ -25,9 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document that names it stays; of repeated rows, one."""
+    """Of each group of near copies the document with the smallest id stays (null ids last); of repeated rows, one."""
     found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("k").alias("k"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    stay = found.groupBy("root").agg(F.min_by("k", first).alias("k"))
     kept = docs.select(*COLUMNS).withColumn("k", row_key("doc_id", "text")).join(stay.select("k"), "k", "left_semi")
     return kept.dropDuplicates(["k"]).select(*COLUMNS) if docs.count() != docs.select("doc_id").distinct().count() else kept.select(*COLUMNS)
 

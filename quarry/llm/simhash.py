@@ -225,9 +225,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, k, fp, component): component is the smallest id reachable over links, own id included; k tells rows of one id apart."""
+    """(id, k, fp, root, component): component is the smallest id reachable over links, own id included; k tells rows of one id apart,
+    and root, a fingerprint, tells groups apart, which may share a component where ids repeat or are null."""
     marked = written(fingerprints(docs, id_col, text_col, shingle, seed))
     roots = components(links(marked.select("fp").distinct(), radius))
     placed = marked.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("id").alias("component"))
-    return placed.join(least, "root").select(F.col("id").alias(id_col), "k", "fp", "component")
+    return placed.join(least, "root").select(F.col("id").alias(id_col), "k", "fp", "root", "component")

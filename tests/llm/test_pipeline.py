@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as p
 from quarry.llm.common import row_key
 
@@ -19,3 +21,16 @@ def test_stages(spark, tmp_path):
     out = p.packed(spark, mixed, d)
     assert {r["doc_id"] for r in out.collect()} == set(range(40))
     assert [n for n, _ in p.STAGES][0] == "quality classifier" and p.run(spark, d).count() == out.count()
+
+
+def _text(seed, n=80):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    """Groups are told apart where ids are null or repeat."""
+    rows = [(None, _text(1)), (None, _text(2)), (None, _text(3)), (1, _text(4)), (1, _text(5)), (2, _text(5)), (2, _text(5)), (3, _text(1))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, _text(2)), (None, _text(3)), (1, _text(4)), (1, _text(5)), (3, _text(1))], key=str)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import row_key, table, written
 from quarry.llm.mixing import mix
+from quarry.llm.near_copies import near_copies
 from quarry.llm.packing import pack
 from quarry.llm.quality import classify
-from quarry.llm.simhash import near_duplicates
 from quarry.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (null ids last); of repeated rows, one."""
-    found = near_duplicates(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays (null ids last); of repeated rows, one."""
+    found = near_copies(docs)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
     stay = found.groupBy("root").agg(F.min_by("k", first).alias("k"))
     kept = docs.select(*COLUMNS).withColumn("k", row_key("doc_id", "text")).join(stay.select("k"), "k", "left_semi")

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as p
+from quarry.llm import near_copies
 from quarry.llm.common import row_key
 
 
@@ -34,3 +37,43 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([(None, _text(2)), (None, _text(3)), (1, _text(4)), (1, _text(5)), (3, _text(1))], key=str)
+
+
+def _set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_dedup_finds_every_pair_of_similarity(spark):
+    """Of pairs from 0.4 to 1, those of five-word similarity 0.8 or more lose one, the others none."""
+    rows, near = [], set()
+    for i in range(240):
+        words = _text(i, 150).split()
+        rng = random.Random(-i)
+        for _ in range(1 + i % 12):
+            words[rng.randrange(len(words))] = "new%d" % rng.randrange(10**6)
+        a, b = _text(i, 150), " ".join(words)
+        rows += [(2 * i, a, "en", "s", 0), (2 * i + 1, b, "en", "s", 0)]
+        near |= {2 * i + 1} if 5 * len(_set(a) & _set(b)) >= 4 * len(_set(a) | _set(b)) else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r["doc_id"] for r in p.near_dedup(spark, docs, "").collect()}
+    assert 40 < len(near) < 200 and kept == set(range(480)) - near
+
+
+def test_linked_is_all_pairs():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 63, 60).astype(np.uint64) for _ in range(6)]
+    sets = []
+    for i in range(120):
+        x = base[i % 6].copy()
+        x[rng.choice(60, i % 17, replace=False)] = rng.integers(0, 1 << 63, i % 17)
+        sets.append(np.unique(x[: 60 - i % 5]))
+    parent = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if 5 * len(x & y) >= 4 * len(x | y):
+                old, new = parent[a], parent[b]
+                parent = [new if g == old else g for g in parent]
+    got = near_copies.linked(sets)
+    assert len(set(got)) == len(set(parent)) == len(set(zip(got, parent))) and 6 < len(set(got)) < 120

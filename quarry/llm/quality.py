@@ -5,9 +5,10 @@ pattern (3 ** labellers rows at most), and expectation-maximisation on those cou
 accuracy per class and the share of good texts, without any labels. The posteriors then train a logistic scorer
 over hashed word features, on a sample of at most `sample` documents (those whose key hashes lowest); it scores all texts.
 
-Cases: null, empty and very short texts: every labeller abstains and the score is that of a text without
-features, which the prior makes good, so nothing clean is lost for being short; repeated rows score alike; an
-empty table gives an empty result; other columns pass if named in `carry`.
+Cases: null and wordless texts: every labeller abstains and the score is that of a text without features, which the prior
+makes good; on texts of fewer than `MIN_WORDS` words the labellers of repetition abstain, the others leave out what any short
+text has (capitals that start a word, punctuation, digits), and words weigh less in the score, so nothing clean is lost for being
+short; repeated rows score alike; an empty table gives an empty result; other columns pass if named in `carry`.
 """
 
 from __future__ import annotations
@@ -27,14 +28,19 @@ SAMPLE, DIM, MIN_WORDS, THRESHOLD = 4000, 1 << 14, 8, 0.5
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _UPPER, _SYMBOLS = bytes(range(65, 91)), bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".,;:'\"-()?")
 _SHAPE = bytes(65 if 65 <= x <= 90 else 97 if 97 <= x <= 122 or x >= 128 else 48 if 48 <= x <= 57 else x for x in range(256))
+_NEUTRAL = b"0123456789.,;:'\"-()?!"
 LABELLERS = ("symbols", "capitals", "distinct words", "repeated neighbour", "top word", "letters", "long words", "repeated lines")
 
 
-def measures(text: bytes, words: list[bytes]) -> tuple[float, ...]:
-    """One share for each labeller."""
+def measures(text: bytes, words: list[bytes]) -> tuple[float | None, ...]:
+    """One share for each labeller; None: it abstains."""
     n, counts = len(words), Counter(words)
     solid = sum(map(len, words))
     letters = len(text) - len(text.translate(None, _LETTERS))
+    if n < MIN_WORDS:
+        capitals = sum(len(w) - 1 - len(w[1:].translate(None, _UPPER)) for w in words)
+        told = solid - sum(len(w) - len(w.translate(None, _NEUTRAL)) for w in words)
+        return ((len(text) - len(text.translate(None, _SYMBOLS))) / solid, capitals / max(1, letters), None, None, None, letters / told if told else 0.0, solid / n / 40, None)
     lines = [x for x in text.split(b"\n") if x]
     return (
         (len(text) - len(text.translate(None, _SYMBOLS))) / solid,
@@ -52,12 +58,12 @@ def measures(text: bytes, words: list[bytes]) -> tuple[float, ...]:
 CUTS = ((+1, 0.10, 0.04), (+1, 0.40, 0.20), (-1, 0.40, 0.80), (+1, 0.20, 0.05), (+1, 0.30, 0.15), (-1, 0.75, 0.88), (+1, 0.60, 0.40), (+1, 0.50, 0.30))
 
 
-def votes(m: tuple[float, ...] | None) -> int:
-    """The pattern in base 3, the first labeller lowest; None (too short): all abstain."""
+def votes(m: tuple[float | None, ...] | None) -> int:
+    """The pattern in base 3, the first labeller lowest; None (no words): all abstain."""
     out = 0
     for i in reversed(range(len(CUTS))):
         sign, bad, good = CUTS[i]
-        v = 2 if m is None else 0 if sign * (m[i] - bad) > 0 else 1 if sign * (m[i] - good) < 0 else 2
+        v = 2 if m is None or m[i] is None else 0 if sign * (m[i] - bad) > 0 else 1 if sign * (m[i] - good) < 0 else 2
         out = out * 3 + v
     return out
 
@@ -93,14 +99,14 @@ def _hash(x: bytes) -> int:
     return xxhash.xxh32_intdigest(x) % DIM
 
 
-def features(words: list[bytes], m: tuple[float, ...] | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[bytes], m: tuple[float | None, ...] | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: shares of words, word shapes and endings, and each labeller's measure in eighths."""
     if m is None:
         return np.zeros(0, np.int64), np.zeros(0)
     ids = np.frombuffer(b"".join([memo[w] for w in words]), dtype=np.uint32)
     at, n = np.unique(ids, return_counts=True)
-    extra = np.array([_hash(b"m%d:%d" % (i, min(8, int(x * 8)))) for i, x in enumerate(m)])
-    return np.concatenate([at, extra]).astype(np.int64), np.concatenate([n / len(words), np.full(len(extra), 0.5)])
+    extra = np.array([_hash(b"m%d:%d" % (i, min(8, int(x * 8)))) for i, x in enumerate(m) if x is not None])
+    return np.concatenate([at, extra]).astype(np.int64), np.concatenate([n / max(MIN_WORDS, len(words)), np.full(len(extra), 0.5)])
 
 
 def word_features() -> Memo:
@@ -114,7 +120,7 @@ def word_features() -> Memo:
 
 def _seen(text: bytes):
     words = words_of(text)
-    return words, measures(text, words) if len(words) >= MIN_WORDS else None
+    return words, measures(text, words) if words else None
 
 
 def train(rows: list, rounds: int = 250) -> tuple[np.ndarray, float]:
@@ -172,7 +178,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                 words, m = _seen(t)
                 z = bias
                 if m is not None:
-                    z += sum([worth[x] for x in words]) / len(words) + sum(extra[i, min(8, int(x * 8))] for i, x in enumerate(m))
+                    z += sum([worth[x] for x in words]) / max(MIN_WORDS, len(words)) + sum(extra[i, min(8, int(x * 8))] for i, x in enumerate(m) if x is not None)
                 s.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
                 weak.append(known.get(votes(m), base))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(weak, pa.float64())], names=[*b.schema.names, "quality_score", "weak_label"])

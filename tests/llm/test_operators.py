@@ -215,6 +215,19 @@ def test_quality(spark, docs, empty):
     assert sum(keep[i] for i in range(300)) >= 298 and sum(keep[i] for i in range(300, 360)) <= 2
 
 
+def test_quality_judges_short_texts(spark):
+    rng = random.Random(1)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    good = [" ".join(rng.choice(vocab) for _ in range(rng.randint(60, 300))) + "." for _ in range(300)]
+    bad = [" ".join(w + rng.choice(["***", "$$$", "&&&"]) for w in t.split()) for t in good[:40]]
+    short = ["Bad.", "A.", "In. The.", "Hij 19.37.233.111", "Cafe bad head.", "That*** bead.***", "Caf&&& bead$$$ dig***", "Head*** big&&& ace$$$ chief*** jade$$$", "abcdef" * 20000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad + short)], "doc_id long, text string")
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(frame).collect()}
+    assert [keep[340 + i] for i in range(8)] == [True] * 5 + [False] * 3
+    cast = lambda t: [quality.votes(quality._seen(t.encode())[1]) // 3**i % 3 for i in range(8)]
+    assert cast(short[8])[6] == 0 and cast(short[7])[0] == 0 and cast(short[0]) == [1, 1, 2, 2, 2, 1, 1, 2] and cast(" ") == [2] * 8
+
+
 def test_mixing(spark, docs, empty):
     labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(ROWS)], "doc_id long, quality int, toxic int")
     assert mixing.mix(docs, labels).count() >= len(ROWS) and mixing.mix(empty, labels).count() == 0

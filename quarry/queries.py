@@ -141,6 +141,16 @@ _add("update_push_slice", "SELECT c, list_concat(p, ['a', 'b'])[1:3] AS p FROM (
 _add("update_rename_unset", "SELECT n_nationkey, CAST(NULL AS VARCHAR) AS n_name, n_regionkey, n_name AS title FROM nation", lambda s, d: _updated(_table(s, d, "nation"), {}, {"$rename": {"n_name": "title"}}))
 _add("delete_where", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal < 0)", lambda s, d: (lambda t: t.where(~compile_filter({"$or": [{"c_mktsegment": "BUILDING"}, {"c_acctbal": {"$lt": 0}}]}, Scope(t.schema))).select("c_custkey", "c_mktsegment"))(_table(s, d, "customer")))
 
+# the same operators over every row
+_pipe("unwind_whole", "embeddings", [{"$unwind": "$embedding"}, {"$project": {"vec_id": 1, "embedding": 1}}], "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings")
+_pipe("group_push_whole", "orders", [{"$sort": {"o_orderdate": 1, "o_orderkey": 1}}, {"$group": {"_id": "$o_custkey", "keys": {"$push": "$o_orderkey"}}}], "SELECT o_custkey AS _id, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS keys FROM orders GROUP BY 1")
+_PRIORITIES = [{"$sort": {"o_orderkey": 1}}, {"$group": {"_id": "$o_custkey", "p": {"$push": "$o_orderpriority"}}}, {"$project": {"c": "$_id", "p": 1, "_id": 0}}]
+_LISTED = "SELECT o_custkey AS c, list(o_orderpriority ORDER BY o_orderkey) AS p FROM orders GROUP BY 1"
+_add("update_push_pull_add_to_set_whole", f"SELECT c, CASE WHEN c % 2 = 0 THEN list_concat(list_filter(p, lambda x: x <> '5-LOW'), ['9-NEW']) ELSE p END AS p FROM ({_LISTED})",
+     lambda s, d: _updated(aggregate(_table(s, d, "orders"), _PRIORITIES), {"c": {"$mod": [2, 0]}}, {"$pull": {"p": "5-LOW"}, "$addToSet": {"p": "9-NEW"}}))
+_add("update_push_slice_whole", f"SELECT c, list_concat(p, ['a', 'b'])[1:3] AS p FROM ({_LISTED})",
+     lambda s, d: _updated(aggregate(_table(s, d, "orders"), _PRIORITIES), {}, {"$push": {"p": {"$each": ["a", "b"], "$slice": 3}}}))
+
 # text, relations, documents
 _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9\\x{00C0}-\\x{024F}]+'), lambda t: length(t) >= 2)"
 _add("text_search", f"SELECT doc_id, lang FROM documents WHERE list_has_all({_TOKENS}, ['the', 'with'])", lambda s, d: (lambda t: find(t, {"$text": {"$search": "With THE"}}, {"projection": {"doc_id": 1, "lang": 1}}, tokens="_tokens"))(_table(s, d, "documents").withColumn("_tokens", tokens(F.col("text")))))

@@ -168,18 +168,34 @@ def test_packing(docs, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
-def test_packing_plan_is_near_the_bound():
+@pytest.mark.parametrize("kind", ["skewed", "even", "pairs only", "one length", "none"])
+def test_packing_plan_is_near_the_bound(kind):
     rng = np.random.default_rng(0)
-    lengths = Counter(int(x) for x in np.clip(rng.lognormal(6.3, 1, 30_000), 1, 2048))
-    lengths[2048] += 5000
-    plan = packing.rounded(lengths, packing.configurations(lengths))
-    used = Counter()
+    drawn = {"skewed": np.clip(rng.lognormal(6.3, 1, 30_000), 1, 2048), "even": rng.integers(1, 2049, 20_000), "pairs only": rng.integers(700, 1200, 3000), "one length": [10] * 5000, "none": []}[kind]
+    lengths = Counter(int(x) for x in drawn)
+    columns, bound = packing.configurations(lengths)
+    plan, used = packing.completed(lengths, columns), Counter()
     for config, m in plan:
         assert sum(l * a for l, a in config.items()) <= 2048
         for l, a in config.items():
             used[l] += a * m
-    assert used == lengths
-    assert sum(m for _, m in plan) <= 1.005 * sum(l * n for l, n in lengths.items()) / 2048 + 1
+    n = sum(m for _, m in plan)
+    assert used == lengths and n >= bound - 1e-6
+    assert n <= sum(m for _, m in packing.completed(lengths, []))  # never more than best fit by itself
+    if kind == "skewed":
+        assert n <= bound + 2 and sum(m for _, m in columns) > n / 3
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_ids_are_the_tokenizers(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = [(r[1] or "").encode() for r in ROWS] + [b"a<|endoftext|>B <|STARTOFTEXT|> x", b"it's DON'T we'll", "\u0130stanbul \u01c5 \u0149 \u03a3\u03c2 e\u0301 \u212b".encode(), b"\x01 a\x01b \x00", "\u65e5\u672c \ud55c\uad6d \u0661 \u00bd".encode(), b"foo.,;bar baz...", "a\u00a0b\u2003c".encode()]
+    ids, count = packing.word_ids(path).encode(texts)
+    told = Tokenizer.from_file(path).encode_batch([t.decode() for t in texts], add_special_tokens=False)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [e.ids for e in told]
+    assert isinstance(packing.word_ids(path), packing.WordIds) == name.startswith("word")
 
 
 def test_merkle(docs, empty):

@@ -183,7 +183,7 @@ def test_packing_plan_is_near_the_bound(kind):
     assert used == lengths and n >= bound - 1e-6
     assert n <= sum(m for _, m in packing.completed(lengths, []))  # never more than best fit by itself
     if kind == "skewed":
-        assert n <= bound + 2 and sum(m for _, m in columns) > n / 3
+        assert n <= bound + 2 and sum(m for _, m in columns) > n / 8
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])

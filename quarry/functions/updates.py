@@ -159,7 +159,7 @@ def compile_update(update: dict, schema: T.StructType, inserting: bool = False)
                 _append(row, path, op, v)
             elif op == "$pull":
                 if kind == "array":
-                    row.set(path, F.filter(col, lambda x: ~_pulled(x, t.elementType, v)), t)
+                    row.set(path, F.filter(col, lambda x: _kept(x, t.elementType, v)), t)
             elif op == "$rename":
                 if t is not None:
                     row.set(v, col, t)
@@ -202,9 +202,10 @@ def _append(row: Row, path: str, op: str, v: object) -> None:
     row.set(path, out, t)
 
 
-def _pulled(x: Column, t: T.DataType, v: object) -> Column:
+def _kept(x: Column, t: T.DataType, v: object) -> Column:
+    """True for what $pull leaves."""
     if isinstance(v, dict) and _operators(v):
-        return _field(x, t, v)
+        return _field(x, t, v, False)
     if isinstance(v, dict) and isinstance(t, T.StructType):
-        return compile_filter(v, Scope(t, x))
-    return _equal(x, t, v)
+        return compile_filter(v, Scope(t, x), want=False)
+    return _equal(x, t, v, False)

@@ -65,6 +65,10 @@ class Collection:
         self.indexes: dict[str, dict] = {}
         self.text_index: str | None = None
         self.bulk: list[dict] | None = None
+        self.held: list[DataFrame] | None = None  # change events of a transaction that has not committed yet
+        if self.store.files.exists(self._definitions):
+            told = json.loads(self.store.files.read(self._definitions))
+            self.indexes, self.text_index = told["indexes"], told["text"]
 
     def __getattr__(self, name: str):
         snake = re.sub("[A-Z]", lambda m: "_" + m[0].lower(), name)
@@ -72,19 +76,32 @@ class Collection:
             return getattr(self, snake)
         raise AttributeError(name)
 
+    @property
+    def _definitions(self) -> str:
+        return f"{self.store.root}/_indexes"
+
+    def _save_definitions(self) -> None:
+        self.store.files.write(self._definitions, json.dumps({"indexes": self.indexes, "text": self.text_index}))
+
     # reading
 
     def df(self) -> DataFrame:
-        return self.store.read()
+        return self.store.read().drop(TOKENS)
 
     def _searchable(self) -> tuple[DataFrame, str | None]:
-        df = self.df()
+        """With the tokens of the text index: stored beside the documents, or computed where a snapshot is older than the index."""
+        df = self.store.read()
         if self.text_index is None:
-            return df, None
+            return df.drop(TOKENS), None
+        if TOKENS in df.columns:
+            return df, TOKENS
+        return self._with_tokens(self.df()), TOKENS
+
+    def _with_tokens(self, df: DataFrame) -> DataFrame:
         scope = Scope(df.schema)
         if scope.kind(self.text_index) != "string":
-            return df.withColumn(TOKENS, F.array().cast("array<string>")), TOKENS
-        return df.withColumn(TOKENS, tokens(scope.col(self.text_index))), TOKENS
+            return df.withColumn(TOKENS, F.array().cast("array<string>"))
+        return df.withColumn(TOKENS, F.array_distinct(tokens(scope.col(self.text_index))))
 
     def find(self, f: dict | None = None, **options) -> DataFrame:
         check_filter(f or {})
@@ -112,9 +129,15 @@ class Collection:
     def count_documents(self, f: dict | None = None) -> int:
         return self.find(f).count()
 
-    def distinct(self, field: str, f: dict | None = None) -> list:
+    def distinct_values(self, field: str, f: dict | None = None) -> DataFrame:
+        """One column, value: the distinct values of a (dotted) field that are not null."""
         df = self.find(f)
-        return [r[0] for r in df.select(F.col(f"`{field}`")).where(F.col(f"`{field}`").isNotNull()).distinct().collect()] if field in df.columns else []
+        scope = Scope(df.schema)
+        return df.select(scope.col(field).alias("value")).where("value is not null").distinct()
+
+    def distinct(self, field: str, f: dict | None = None) -> list:
+        """As a list on the driver; distinct_values() stays distributed."""
+        return [r["value"] for r in self.distinct_values(field, f).collect()]
 
     def exists(self, f: dict | None = None) -> bool:
         return not self.find(f, limit=1).isEmpty()
@@ -155,8 +178,8 @@ class Collection:
     def _commit(self, df: DataFrame, events: DataFrame | None = None, expected: int | None = None) -> None:
         """Unique indexes are checked on the staged snapshot, before it is published."""
         expected = self.store.version() if expected is None else expected
-        name = self.store.stage(df)
-        staged = self.spark.read.parquet(f"{self.store.root}/{name}")
+        name = self.store.stage(self._sealed(df))
+        staged = self._opened(self.spark.read.parquet(f"{self.store.root}/{name}"))
         try:
             for index in self.indexes.values():
                 if index.get("unique"):
@@ -166,7 +189,18 @@ class Collection:
             raise
         self.store.publish(name, expected)
         if events is not None:
-            changes.append(events, self.store.log_path)
+            if self.held is not None:
+                self.held.append(events)
+            else:
+                changes.append(events, self.store.log_path)
+
+    def _sealed(self, df: DataFrame) -> DataFrame:
+        """What a snapshot holds of the documents."""
+        return self._with_tokens(df.drop(TOKENS)) if self.text_index else df
+
+    def _opened(self, stored: DataFrame) -> DataFrame:
+        """The documents of a snapshot."""
+        return stored.drop(TOKENS)
 
     def _check_unique(self, df: DataFrame, index: dict) -> None:
         scope = Scope(df.schema)
@@ -250,7 +284,10 @@ class Collection:
         return True
 
     def _delete(self, f: dict, one: bool) -> int:
-        hit = self._target(f, one)
+        return self.delete_ids(self._target(f, one))
+
+    def delete_ids(self, hit: DataFrame) -> int:
+        """Documents whose _id is in a DataFrame go, in one rewrite."""
         n = hit.count()
         if n:
             self._commit(self.df().join(hit, "_id", "left_anti"), changes.events(hit, "delete"))
@@ -320,18 +357,31 @@ class Collection:
         """Uniqueness is enforced from now on; scans need no structure. sparse and include are accepted and have no effect."""
         fields = [fields] if isinstance(fields, str) else list(fields)
         name = "_".join(fields)
-        self.indexes.setdefault(name, {"fields": fields, "unique": unique, "partial": partial})
+        if name not in self.indexes:
+            index = {"fields": fields, "unique": unique, "partial": partial}
+            if unique:
+                self._check_unique(self.df(), index)
+            self.indexes[name] = index
+            self._save_definitions()
         return name
 
     def drop_index(self, name: str) -> bool:
-        return self.indexes.pop(name, None) is not None
+        if self.indexes.pop(name, None) is None:
+            return False
+        self._save_definitions()
+        return True
 
     def create_text_index(self, field: str) -> None:
-        self.text_index = self.text_index or field
+        """Tokens of the field are stored beside the documents from now on. The first index stays."""
+        if self.text_index is None:
+            self.text_index = field
+            self._save_definitions()
+            if self.store.version():
+                self._commit(self.df())
 
     def compact(self) -> int:
         """Rewrite the snapshot in fewer files and drop old versions."""
-        self.store.commit(self.df().coalesce(max(1, self.store.files.size(self.store.snapshot() or self.store.root) // (128 << 20))))
+        self.store.commit(self.store.read().coalesce(max(1, self.store.files.size(self.store.snapshot() or self.store.root) // (128 << 20))))
         return self.store.vacuum()
 
     def flush(self) -> None:
@@ -355,27 +405,36 @@ class Collection:
         """Rows without _id get one; rows whose _id is there are errors, or replace it with upsert (or mode='upsert')."""
         upsert = upsert or mode == "upsert"
         if files.format_of(path, format) == "ndjson":
-            new, errors = files.read_lines(self.spark, path)
+            new, errors, n_bad = files.read_lines(self.spark, path)
         else:
-            new, errors = files.read_array(self.spark, path), []
+            new, errors, n_bad = files.read_array(self.spark, path), [], 0
         if errors and not continue_on_error:
             raise QueryError(f"line {errors[0]['line']}: {errors[0]['error']}")
-        new = new.withColumn("_id", F.coalesce(F.col("_id").cast("string") if "_id" in new.columns else F.lit(None), F.md5(F.concat(F.uuid(), F.lit("-"))).substr(1, 24))).dropDuplicates(["_id"])
-        new = new.cache()
-        old = self.df()
-        clash = old.select("_id").join(new.select("_id"), "_id", "left_semi")
-        n, n_clash = new.count(), clash.count()
-        schema = merged(old.schema, new.schema)
-        if upsert:
-            rest, added = old.join(new.select("_id"), "_id", "left_anti"), new
-        else:
-            rest, added = old, new.join(clash, "_id", "left_anti")
-            errors += [{"line": None, "error": f"{n_clash} ids are there already"}] if n_clash else []
-            if n_clash and not continue_on_error:
-                raise DuplicateKey("ids are there already")
-        self._commit(aligned(rest, schema).unionByName(aligned(added, schema)), changes.events(added, "insert"))
-        skipped = 0 if upsert else n_clash
-        return files.ImportResult(n + len([e for e in errors if e["line"] is not None]), n - skipped, skipped + len([e for e in errors if e["line"] is not None]), errors)
+        new = new.withColumn("_id", F.coalesce(F.col("_id").cast("string") if "_id" in new.columns else F.lit(None), F.md5(F.concat(F.uuid(), F.lit("-"))).substr(1, 24))).cache()
+        try:
+            n = new.count()
+            names = [F.col(f"`{c}`") for c in new.columns]
+            # of rows with one _id the last in order of its fields stays with upsert, else the first; the others are errors
+            kept = new.groupBy("_id").agg((F.max_by if upsert else F.min_by)(F.struct(*names), F.to_json(F.struct(*names))).alias("r")).select("r.*")
+            old = self.df()
+            n_kept = kept.count()
+            n_clash = old.select("_id").join(kept.select("_id"), "_id", "left_semi").count()
+            twice = n - n_kept
+            if twice and not upsert:
+                errors.append({"line": None, "error": f"{twice} rows repeat an _id of the file"})
+            schema = merged(old.schema, kept.schema)
+            if upsert:
+                rest, added = old.join(kept.select("_id"), "_id", "left_anti"), kept
+            else:
+                rest, added = old, kept.join(old.select("_id"), "_id", "left_anti")
+                errors += [{"line": None, "error": f"{n_clash} ids are there already"}] if n_clash else []
+            if (n_clash or twice) and not upsert and not continue_on_error:
+                raise DuplicateKey("ids are there already, or twice in the file")
+            self._commit(aligned(rest, schema).unionByName(aligned(added, schema)), changes.events(added, "insert"))
+        finally:
+            new.unpersist()
+        skipped = n_bad + (0 if upsert else n_clash + twice)
+        return files.ImportResult(n + n_bad, n + n_bad - skipped, skipped, errors)
 
     def project(self, spec: dict) -> DataFrame:
         return project(self.df(), spec)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .collection import Collection
+from .collection import TOKENS, Collection
 from .crypto import CryptoLayer
 
 
@@ -31,20 +31,32 @@ class EncryptedCollection(Collection):
         return self.layer is not None
 
     def df(self) -> DataFrame:
-        raw = self.store.read()
+        return self._opened(self.store.read())
+
+    def _searchable(self) -> tuple[DataFrame, str | None]:
+        df = self.df()
+        return (df, None) if self.text_index is None else (self._with_tokens(df), TOKENS)
+
+    def _opened(self, raw: DataFrame) -> DataFrame:
         if self.layer is None or "_schema" not in raw.columns:
-            return raw
+            return raw.drop(TOKENS)
         told = raw.select("_schema").first()
         if told is None:
             return raw.select("_id")
         schema = T.StructType.fromDDL(told["_schema"])
         return raw.select(F.from_json(self.layer.decrypt(F.col("_data")), schema).alias("d")).select("d.*")
 
+    def _sealed(self, df: DataFrame) -> DataFrame:
+        if self.layer is None:
+            return super()._sealed(df)
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.select("_id", self.layer.encrypt(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_data"), F.lit(ddl).alias("_schema"))
+
     def _commit(self, df: DataFrame, events: DataFrame | None = None, expected: int | None = None) -> None:
-        if self.layer is not None:
-            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-            df = df.select("_id", self.layer.encrypt(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_data"), F.lit(ddl).alias("_schema"))
-        super()._commit(df, None, expected)  # the change log would hold plain documents
+        """Events tell which document changed and how, but hold nothing of it: the log is not encrypted."""
+        if events is not None and self.layer is not None:
+            events = events.withColumns({"fullDocument": F.lit(None).cast("string"), "updateDescription": F.lit(None).cast("string")})
+        super()._commit(df, events, expected)
 
     def rotate_encryption_key(self, passphrase: str | None = None, key: bytes | None = None) -> int:
         plain = self.df().cache()

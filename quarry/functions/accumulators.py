@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QueryError
 from .expressions import compile_expression
@@ -15,8 +16,8 @@ ORDERED = ("$push", "$first", "$last", "$addToSet")
 class Order:
     """The current ordering: (column, ascending) pairs; nulls are lowest, as Spark has them."""
 
-    def __init__(self, keys: list[tuple[Column, bool]]):
-        self.keys = keys
+    def __init__(self, keys: list[tuple[Column, bool]], types: list[T.DataType | None] | None = None):
+        self.keys, self.types = keys, types or [None] * len(keys)
 
     def columns(self) -> list[Column]:
         return [c.asc() if up else c.desc() for c, up in self.keys]
@@ -46,6 +47,25 @@ class Order:
         return F.array_sort(pairs, compare)
 
 
+def _turned(c: Column, t: T.DataType | None, up: bool) -> Column | None:
+    """A key whose ascending order is that of c, or for up=False its descending one; None for types that cannot be turned round."""
+    if up:
+        return c
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return F.struct(c.isNull(), ~F.isnan(c), -c)  # nulls last, NaN first
+    if isinstance(t, T.IntegralType):
+        return F.struct(c.isNull(), F.bitwise_not(c))
+    if isinstance(t, T.DecimalType):
+        return F.struct(c.isNull(), -c)
+    if isinstance(t, T.DateType):
+        return F.struct(c.isNull(), -F.unix_date(c))
+    if isinstance(t, T.BooleanType):
+        return F.struct(c.isNull(), ~c)
+    if isinstance(t, T.TimestampType):
+        return F.struct(c.isNull(), -F.unix_micros(c))
+    return None
+
+
 def compile_accumulator(spec: object, scope: Scope, order: Order) -> Column:
     if not isinstance(spec, dict) or len(spec) != 1:
         raise QueryError("an output has one accumulator")
@@ -78,5 +98,8 @@ def compile_accumulator(spec: object, scope: Scope, order: Order) -> Column:
         if way is not None:
             pick = F.min_by if (op == "$first") == way else F.max_by
             return pick(F.struct(value.alias("v")), F.struct(*order.fields()))["v"]
+        keys = [_turned(c, t, up) for (c, up), t in zip(order.keys, order.types)]
+        if all(k is not None for k in keys):
+            return (F.min_by if op == "$first" else F.max_by)(F.struct(value.alias("v")), F.struct(*keys))["v"]
         return F.element_at(order.sorted(F.collect_list(pair)), 1 if op == "$first" else -1)["v"]
     raise QueryError(f"unknown accumulator {op}")

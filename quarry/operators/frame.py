@@ -33,7 +33,7 @@ class Frame:
     def ordering(self) -> Order:
         """The sort in force; without one, _id, or all columns that can be compared: input order means nothing in Spark."""
         if self.order:
-            return Order([(self.scope.col(p), up) for p, up in self.order])
+            return Order([(self.scope.col(p), up) for p, up in self.order], [self.scope.type(p) for p, _ in self.order])
         if "_id" in self.df.columns and orderable(self.df.schema["_id"].dataType):
             return Order([(F.col("_id"), True)])
         names = [f.name for f in self.df.schema.fields if orderable(f.dataType)]

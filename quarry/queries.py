@@ -167,12 +167,12 @@ _add("json_props_extract", "SELECT event_id, json_extract(props, '$.k')::BIGINT
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import service_queries
+    from . import proof_queries, service_queries
 
-    return _QUERIES | service_queries.queries()
+    return _QUERIES | service_queries.queries() | proof_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import service_queries
+    from . import proof_queries, service_queries
 
-    return _SQL | service_queries.oracle_sql()
+    return _SQL | service_queries.oracle_sql() | proof_queries.oracle_sql()

@@ -38,10 +38,11 @@ class RelationManager:
             kind = df.schema[field].dataType
             rest = [F.col(f"`{c}`") for c in df.columns if c != field]
             if isinstance(kind, T.ArrayType):
-                rows = df.withColumn("__row", F.monotonically_increasing_id())
-                parts = rows.select("__row", F.posexplode(field).alias("__at", "__key")).join(payload, "__key", "left")
-                gathered = parts.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.struct(F.col("__doc").alias("d")).alias("w")))), lambda x: x["w"]["d"]).alias("__docs"))
-                df = rows.join(gathered, "__row", "left").select(*rest, F.col(f"`{field}`").alias(f"{field}_id"), F.col("__docs").alias(field))
+                # joined by the array itself: equal arrays have equal documents, so no row number must survive a recomputation
+                lists = df.select(F.col(f"`{field}`").alias("__list")).where("__list is not null").distinct()
+                parts = lists.select("__list", F.posexplode("__list").alias("__at", "__key")).join(payload, "__key", "left")
+                gathered = parts.groupBy("__list").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.struct(F.col("__doc").alias("d")).alias("w")))), lambda x: x["w"]["d"]).alias("__docs"))
+                df = df.join(gathered, F.col(f"`{field}`") == F.col("__list"), "left").select(*rest, F.col(f"`{field}`").alias(f"{field}_id"), F.col("__docs").alias(field))
             elif isinstance(kind, T.StringType):
                 df = df.join(payload, F.col(f"`{field}`") == F.col("__key"), "left").select(*rest, F.col(f"`{field}`").alias(f"{field}_id"), F.col("__doc").alias(field))
         return df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from ..errors import QueryError
 from ..plans.find import project
 
 
+#: Bad lines that are told one by one; all are counted.
+LISTED = 1000
+
+
 @dataclass
 class ImportResult:
     total: int = 0
@@ -25,15 +30,20 @@ def format_of(path: str, given: str | None) -> str:
     return "json" if path.endswith(".json") else "ndjson"
 
 
-def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[dict]]:
-    """Documents of an NDJSON file, and its bad lines with their number among the lines that are not blank."""
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[dict], int]:
+    """Documents of an NDJSON file; its first `LISTED` bad lines with their number among the lines that are not blank; and how many are bad.
+
+    Two passes over the text, whatever the number of bad lines: lines are counted by partition, and a line's number is its place in its
+    partition and the counts of those before."""
     raw = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
     if "__bad" not in raw.columns:
-        return raw, []
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("id"), "value")
-    bad_lines = lines.where(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")).select("id").limit(1000).collect()
-    errors = [{"line": lines.where(F.col("id") <= r["id"]).count(), "error": "not a JSON object"} for r in bad_lines]
-    return raw.cache().where("__bad is null").drop("__bad"), errors
+        return raw, [], 0
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("id"), (F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")).alias("bad"))
+    parts = lines.groupBy(F.shiftright("id", 33).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).orderBy("p").collect()
+    before = dict(zip([r["p"] for r in parts], accumulate([0, *[r["n"] for r in parts]])))
+    bad = lines.where("bad").select("id").orderBy("id").limit(LISTED).collect()
+    errors = [{"line": before[r["id"] >> 33] + (r["id"] & (1 << 33) - 1) + 1, "error": "not a JSON object"} for r in bad]
+    return raw.cache().where("__bad is null").drop("__bad"), errors, sum(r["bad"] for r in parts)
 
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:

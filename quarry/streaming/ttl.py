@@ -52,9 +52,9 @@ class TTLIndex:
         return self._stop is not None
 
     def purge_now(self, now: int | None = None) -> int:
+        """One rewrite of the collection takes at most batch_size documents, smallest ids first."""
         found = self.collection.find({self.field: {"$lte": now_ms() if now is None else now}}).select("_id").orderBy("_id").limit(self.batch_size)
-        wanted = [r["_id"] for r in found.collect()]  # batch_size at most
-        n = sum(self.collection.delete_many({"_id": {"$in": wanted[i : i + 1000]}}) for i in range(0, len(wanted), 1000))
+        n = self.collection.delete_ids(found)
         self.total_deleted += n
         self.cycle_count += 1
         if n and self.on_purge:

@@ -22,21 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (local mode)."""
+    """The shared folder of the cluster; a folder of our own only in local mode, where it is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         os.makedirs(OWN_CHECKPOINTS, exist_ok=True)
         folder = f"file://{OWN_CHECKPOINTS}"
     return folder.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back. Deleted when the session's process ends."""
+    """Cut the lineage: write df to the shared folder and read it back. Deleted when the session's process ends, or by freed()."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def freed(df: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    _remove(df.sparkSession, df._quarry_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

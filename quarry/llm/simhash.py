@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, texts_of, words_of, written
+from .common import freed, row_key, texts_of, words_of, written
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 HOMES = 4096  # homes of one anchor that are compared in one group
@@ -216,6 +216,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new = written(step)
         same = (new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
                 == pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        freed(pairs)
         pairs = new
         if same:
             break

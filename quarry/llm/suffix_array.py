@@ -1,11 +1,13 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-Suffixes are classified as S or L; leftmost S positions cut the text into substrings, which are named in order;
-the reduced string of names is sorted, and two passes over the buckets induce the order of all L and then all S
-suffixes from it. A pass handles all entries of a bucket that are known at once as one vector. Such passes need a small
-alphabet, so a reduced string with a large one is ordered by doubling its prefixes instead, up to `depth`
-names (`depth` symbols or more of the text, since names start at least two apart); the array is then sorted by
-that long a prefix.
+Suffixes are classified as S or L; leftmost S positions cut the text into substrings, which are radix-sorted, several symbols a
+digit, and named in order; the string of names is sorted by recursion, at every level in the same way. From the order of the
+leftmost S suffixes that of all others is induced. Over a small alphabet two passes over the buckets do so, L suffixes and then S
+suffixes; a pass handles all entries of a bucket that are known at once as one vector. Names are too many for a step a bucket:
+there each suffix is radix-sorted by the symbols up to the next leftmost S suffix, whose rank decides the rest.
+
+With `depth` the array is only sorted by prefixes of at least so many symbols: names start two apart or more, so the string of names need
+be sorted by half of that, and by its single names at the end.
 """
 
 from __future__ import annotations
@@ -23,20 +25,29 @@ def _types(s: np.ndarray) -> np.ndarray:
     return np.append(d[np.minimum(nearest, len(d) - 1)] > 0, True)
 
 
-def _doubled(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order by prefix doubling, up to `depth` symbols."""
-    n, h = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - h] = rank[h:] if h < n else 0
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        step = np.append(0, np.cumsum(np.diff(key[order]) != 0))
-        rank[order] = step + 1
-        h *= 2
-        if step[-1] == n - 1 or h >= depth:
-            return order
+def _ranked(coded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Radix sort, most significant digit first, of the substrings coded[starts:ends], where none is a proper prefix of another: for each the
+    number of those that are smaller. A digit packs as many symbols as a 63-bit key holds; only substrings that are still tied go on."""
+    bits = int(coded.max() + 1).bit_length()
+    per = 63 // bits
+    live, rank = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64)
+    at = 0
+    while len(live):
+        first, left = starts[live] + at, ends[live] - starts[live] - at
+        key = np.zeros(len(live), dtype=np.int64)
+        for j in range(per):
+            key <<= bits
+            key += np.where(j < left, coded[np.minimum(first + j, len(coded) - 1)] + 1, 0)
+        order = np.argsort(key) if not at else np.lexsort([key, rank[live]])
+        group, digit = rank[live][order], key[order]
+        new = np.append(True, (np.diff(digit) != 0) | (np.diff(group) != 0))
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1]  # of those with the same digit
+        outer = np.append(True, np.diff(group) != 0)
+        rank[live[order]] = group + begin - np.flatnonzero(outer)[np.cumsum(outer) - 1]
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))[np.cumsum(new) - 1]
+        live = live[order[(size > 1) & (left[order] > per)]]
+        at += per
+    return rank
 
 
 def _dealt(queue: dict[int, list], chars: np.ndarray, pos: np.ndarray) -> None:
@@ -56,22 +67,22 @@ def suffix_array(s: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     s = s.astype(np.uint16) if s.max() < 1 << 16 else s.astype(np.int64)
     kind = _types(s)
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
-    # names of the leftmost substrings: equal symbols of type L come before those of type S
-    width = 4 if int(s.max()) >= 1 << 15 else 2
-    coded = (s.astype(np.int64) * 2 + kind).astype(f">u{width}").tobytes()
-    ends = np.append(lms[1:] + 1, n)
-    subs = [coded[a:b] for a, b in zip((lms * width).tolist(), (ends * width).tolist())]
-    named = {x: i for i, x in enumerate(sorted(set(subs)))}
-    reduced = np.array([named[x] for x in subs], dtype=np.int64)
-    del coded, subs
-    if len(named) == len(lms):
-        order = np.argsort(reduced)
-    elif len(named) <= SMALL_ALPHABET:
-        order = suffix_array(reduced, depth)  # the sentinel is the last leftmost substring, and has name 0
+    coded = s.astype(np.int64) * 2 + kind  # equal symbols of type L come before those of type S
+    rank = _ranked(coded, lms, np.append(lms[1:] + 1, n))
+    names = np.unique(rank)
+    reduced = np.searchsorted(names, rank)
+    if len(names) == len(lms) or depth <= 2:
+        order = np.argsort(reduced, kind="stable")
     else:
-        order = _doubled(reduced, depth)
+        order = suffix_array(reduced, depth // 2)  # the sentinel is the last leftmost substring, and has name 0
     stars = lms[order]
     top = int(s.max())
+    if top >= SMALL_ALPHABET:
+        # the next leftmost S position after each (the sentinel's is itself), and its rank
+        follows = np.minimum(np.searchsorted(lms, np.arange(n), side="right"), len(lms) - 1)
+        place = np.empty(len(lms), dtype=np.int64)
+        place[order] = np.arange(len(lms))
+        return np.lexsort([place[follows], _ranked(coded, np.arange(n), lms[follows] + 1)])
 
     def by_bucket(pos: np.ndarray) -> dict[int, np.ndarray]:
         out: dict[int, list] = {}

@@ -3,11 +3,13 @@
 Shards hold what can match. In every string of `length` bytes one gram of `GRAM` bytes, the one of smallest hash (leftmost on ties),
 is its anchor, chosen from the string alone, so equal strings have equal anchors. Only anchors that occur twice or more
 matter; around each the text that can share it (`length` - GRAM bytes to either side) goes to the anchor's shard, merged
-where it overlaps within a document. A shard's different stretches, each once, are joined with separators; its suffix
-array and permuted common prefixes tell which strings occur twice or more, a stretch that occurs several times repeats as a whole.
+where it overlaps within a document. Equal stretches of one batch of texts travel as one, with their places. A shard's different stretches, each once,
+are joined with separators; its suffix array and permuted common prefixes tell which strings occur twice or more, a stretch that occurs
+several times repeats as a whole.
 
-Cases: null text is empty; rows alike in id and text are one document and get the same result; shorter texts stay whole; equal ids with different
-texts are different documents; an empty table gives an empty result. Cuts may fall inside a character: what is kept is binary.
+Cases: null text is empty; rows alike in id and text are documents of their own, so of texts of `length` bytes or more nothing stays; shorter texts
+stay whole; equal ids with different texts are different documents; an empty table gives an empty result. Cuts may fall inside a character:
+what is kept is binary.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grams, mixed, row_key, rows_by_size, sliding_min, texts_of, written
+from .common import freed, grams, mixed, row_key, rows_by_size, sliding_min, texts_of, written
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 48
@@ -50,9 +52,11 @@ def anchors(text: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tupl
 
 
 def shard_spans(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Stretches (k, start, content) of one shard in, spans (k, a, b) of repeated bytes out."""
-    frame = frame.drop_duplicates(["k", "start"])
-    texts, which, count = np.unique(frame["content"].to_numpy(dtype=object), return_inverse=True, return_counts=True)
+    """Stretches (ks, starts, content) of one shard in, spans (k, a, b) of repeated bytes out."""
+    places = pd.DataFrame({"row": np.repeat(np.arange(len(frame)), frame["ks"].map(len)), "k": np.concatenate(frame["ks"].to_list()), "start": np.concatenate(frame["starts"].to_list())}).drop_duplicates(["k", "start"])
+    texts, which = np.unique(frame["content"].to_numpy(dtype=object), return_inverse=True)
+    which = which[places["row"].to_numpy()]
+    count = np.bincount(which, minlength=len(texts))
     n = np.array([len(t) for t in texts])
     # separators are a byte that UTF-8 does not have
     text = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)
@@ -78,7 +82,7 @@ def shard_spans(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     if not spans:
         return pd.DataFrame({"k": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     table = pd.DataFrame({"which": np.concatenate([np.full(len(a), i) for i, a, _ in spans]), "a": np.concatenate([a for _, a, _ in spans]), "b": np.concatenate([b for _, _, b in spans])})
-    rows = pd.DataFrame({"which": which, "k": frame["k"].to_numpy(), "start": frame["start"].to_numpy()}).merge(table, on="which")
+    rows = pd.DataFrame({"which": which, "k": places["k"].to_numpy(), "start": places["start"].to_numpy()}).merge(table, on="which")
     return pd.DataFrame({"k": rows["k"], "a": rows["a"] + rows["start"], "b": rows["b"] + rows["start"]})
 
 
@@ -110,13 +114,16 @@ def repeated_spans(own: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     found = own.select("k", "text").mapInArrow(mark, "h long, k long, pos long")
     found = written(found)
     place = F.struct("k", "pos")
-    twice = found.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h")
-    hits = written(found.join(twice, "h", "left_semi"))
+    # written, so that both sides of the join are plain exchanges and a hot anchor's partition can be split
+    twice = written(found.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h"))
+    hits = written(found.join(twice.hint("shuffle_merge"), "h", "left_semi"))
+    freed(found)
+    freed(twice)
     shards = max(1, hits.count() * (2 * length - gram) // SHARD_BYTES)
 
     def stretch(batches):
         for b in batches:
-            out = {"shard": [], "k": [], "start": [], "content": []}
+            seen: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
             for key, text, at in zip(b.column(0).to_pylist(), texts_of(b), b.column(2)):
                 if not at.is_valid or not len(at.values):
                     continue
@@ -129,15 +136,16 @@ def repeated_spans(own: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
                 new = np.append(True, (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1]))
                 firsts = np.flatnonzero(new)
                 for s, a, e in zip(shard[firsts].tolist(), lo[firsts].tolist(), hi[np.append(firsts[1:], len(lo)) - 1].tolist()):
-                    out["shard"].append(s)
-                    out["k"].append(key)
-                    out["start"].append(a)
-                    out["content"].append(text[a:e])
-            yield pa.record_batch({"shard": pa.array(out["shard"], pa.int64()), "k": pa.array(out["k"], pa.int64()), "start": pa.array(out["start"], pa.int64()), "content": pa.array(out["content"], pa.binary())})
+                    ks, starts = seen.setdefault((s, text[a:e]), ([], []))
+                    ks.append(key)
+                    starts.append(a)
+            many = pa.list_(pa.int64())
+            yield pa.record_batch({"shard": pa.array([s for s, _ in seen], pa.int64()), "content": pa.array([c for _, c in seen], pa.binary()),
+                                   "ks": pa.array([x for x, _ in seen.values()], many), "starts": pa.array([x for _, x in seen.values()], many)})
 
     by_doc = hits.groupBy("k").agg(F.collect_set(F.struct("h", "pos")).alias("at"))
-    pieces = own.select("k", "text").join(by_doc, "k").select("k", "text", "at").mapInArrow(stretch, "shard long, k long, start long, content binary")
-    spans = pieces.groupBy("shard").applyInPandas(lambda f: shard_spans(f[["k", "start", "content"]], length), "k long, a long, b long")
+    pieces = own.select("k", "text").join(by_doc, "k").select("k", "text", "at").mapInArrow(stretch, "shard long, content binary, ks array<long>, starts array<long>")
+    spans = pieces.groupBy("shard").applyInPandas(lambda f: shard_spans(f, length), "k long, a long, b long")
     return spans.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -145,12 +153,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, n_removed, spans: array of [a, b) byte ranges removed, kept: binary, kept_sha256) per document."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", row_key("id", "text"))
     spans = repeated_spans(own, length)
+    alike = own.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("k", F.lit(True).alias("alike"))
+    spans = spans.join(alike, "k", "full")
 
     def cut(batches):
         for b in batches:
             n_bytes, n_removed, told, kept = [], [], [], []
-            for text, at in zip(texts_of(b), b.column(2).to_pylist()):
-                gone = union([(x["a"], x["b"]) for x in at]) if at else []
+            for text, at, alike in zip(texts_of(b), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                gone = [(0, len(text))] if alike and len(text) >= length else union([(x["a"], x["b"]) for x in at]) if at else []
                 n_bytes.append(len(text))
                 n_removed.append(sum(e - a for a, e in gone))
                 told.append([{"a": a, "b": e} for a, e in gone])
@@ -162,5 +172,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     schema = T.StructType([own.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
-    out = own.join(spans.hint("shuffle_merge"), "k", "left").select("id", "text", "spans").mapInArrow(cut, schema)
+    out = own.join(spans.hint("shuffle_merge"), "k", "left").select("id", "text", "spans", "alike").mapInArrow(cut, schema)
     return out.withColumnRenamed("id", id_col)

@@ -72,7 +72,7 @@ def test_substring_dedup(docs, empty):
 def test_suffix_dedup(docs, empty):
     got = suffix_dedup.suffix_dedup(docs).collect()
     assert len(got) == len(ROWS)
-    count = Counter(t.encode()[s : s + 400] for _, t in _distinct() for s in range(len(t.encode()) - 399))
+    count = Counter((r[1] or "").encode()[s : s + 400] for r in ROWS for s in range(len((r[1] or "").encode()) - 399))
     found = {}
     for i, t in _distinct():
         b, gone = t.encode(), np.zeros(len(t.encode()), bool)

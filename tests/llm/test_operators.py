@@ -272,6 +272,20 @@ def test_language(spark, docs, empty):
     assert sum(r["lang_pred"] == ["aa", "bb"][r["doc_id"] % 2] for r in held) >= 0.98 * len(held)
 
 
+def test_language_reads_whole_texts_with_state():
+    rng = np.random.default_rng(3)
+    net = language.Network(3)
+    reader = language.Reader(net)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (1, 7, 64, 500, 512, 513, 1300, 5000)]
+    got = reader.documents(texts)
+    for t, p in zip(texts, got):
+        exact = np.exp(net.log_probabilities(np.frombuffer(t, np.uint8)[None, :]))[0].mean(0)  # one pass over the whole text
+        assert np.abs(exact - p).max() < 2e-3 and abs(p.sum() - 1) < 1e-5
+    # a byte is labelled by what stands before and after it, beyond its own word
+    near = lambda t: np.exp(net.log_probabilities(np.frombuffer(t, np.uint8)[None, :]))[0]
+    assert np.abs(near(b"zz ab zz")[3] - near(b"qk ab zz")[3]).max() > 1e-4
+
+
 def test_gradients_of_the_network():
     net = language.Network(2, hidden=3)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
@@ -304,6 +318,37 @@ def test_html(spark):
     assert html_extract.main_text(frame.limit(0)).count() == 0
 
 
+def test_marked_pages():
+    from marked_pages import PAGES as marked
+
+    wrong = [i for i, (page, text) in enumerate(marked) if html_extract.extract(page) != text]
+    assert not wrong
+    alone = changed = 0
+    for page, text in marked:
+        found, weights, content = html_extract.labelled(page)
+        alone += "\n".join(b.text for b, w in zip(found, weights) if w > 0) == text
+        changed += sum((w > 0) != label for w, label in zip(weights, content))
+    assert alone < len(marked) and changed  # the classifier by itself does not get all of them
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    unit = "<div><h3>t</h3><p>Some text of a paragraph that goes on and on, with words.</p><ul><li><a href=x>link</a></li></ul></div>"
+    assert html_extract.extract("<body>" + unit * 4).split("\n")[:2] == ["t", "Some text of a paragraph that goes on and on, with words."]
+
+    def taken(n):
+        start = time.process_time()
+        assert len(html_extract.labelled("<body>" + unit * n)[0]) == 3 * n
+        return time.process_time() - start
+
+    taken(100)
+    assert taken(4000) < 30 * taken(400) + 1
+    start = time.process_time()
+    html_extract.extract('<a href="x' * 4000 + "<p>" * 10)
+    assert time.process_time() - start < 2
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(8)
     for _ in range(60):
@@ -312,9 +357,9 @@ def test_min_cut_is_minimal():
         edges = [(a, b, rng.randint(0, 6)) for a in range(n) for b in range(a) if rng.random() < 0.5]
 
         def cost(side):
-            return sum(t if s else c for s, c, t in zip(side, source, sink)) + sum(c for a, b, c in edges if side[a] != side[b])
+            return sum(t - min(c, t) if s else c - min(c, t) for s, c, t in zip(side, source, sink)) + sum(c for a, b, c in edges if side[a] != side[b])
 
-        assert cost(html_extract.min_cut(source, sink, edges)) == min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(html_extract.min_cut([a - b for a, b in zip(source, sink)], edges)) == min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
 
 
 def test_nearest(spark):

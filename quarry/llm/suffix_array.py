@@ -69,9 +69,10 @@ def suffix_array(s: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
     coded = s.astype(np.int64) * 2 + kind  # equal symbols of type L come before those of type S
     rank = _ranked(coded, lms, np.append(lms[1:] + 1, n))
-    names = np.unique(rank)
-    reduced = np.searchsorted(names, rank)
-    if len(names) == len(lms) or depth <= 2:
+    used = np.zeros(len(lms), dtype=np.int64)
+    used[rank] = 1
+    reduced = np.cumsum(used)[rank] - 1
+    if used.all() or depth <= 2:
         order = np.argsort(reduced, kind="stable")
     else:
         order = suffix_array(reduced, depth // 2)  # the sentinel is the last leftmost substring, and has name 0

@@ -27,7 +27,7 @@ from .common import freed, grams, mixed, row_key, rows_by_size, sliding_min, tex
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 48
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 500_000  # arrays of a shard then fit a core's cache
 _A = 0x9E3779B97F4A7C15
 
 

@@ -1,10 +1,10 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame operations only.
 
 A paragraph is a line, a section is a run of `SECTION` paragraphs. A paragraph's node is the MD5 of its bytes, a
-section's node the MD5 of its paragraphs' nodes, and the root the MD5 of the sections' nodes. Below each paragraph
-the fingerprint lists leaf marks, a short checksum for every `LEAF` words. As a string, parts are joined by spaces: the root (32
-digits), then S and 8 digits for each section, before P and 8 digits for each of its paragraphs, before 6 digits
-for each leaf.
+section's node the MD5 of its paragraphs' nodes, and the root the MD5 of the sections' nodes. A paragraph's leaves are runs of
+words that end where a word ends in one of `ENDINGS`, after `LONGEST` words at the latest, so what is inserted moves no later leaf; in
+paragraphs of fewer than `SHORT` words every word is a leaf. As a string, parts are joined by spaces: the root (32
+digits), then S and 8 digits for each section, before P and 8 digits for each of its paragraphs, before 6 digits of the MD5 of each leaf.
 
 Cases: null text is empty; empty text has the tree of one empty paragraph and no leaves; equal texts have equal
 fingerprints. "Next" goes by ascending id, null ids last, rows of one id by a hash of the text, and from the last row to the
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import row_key
 
-SECTION, LEAF = 8, 4
-ROWS_PER_BUCKET, MOST_BUCKETS = 2000, 1 << 16
+SECTION, SHORT, LONGEST, ENDINGS = 8, 12, 8, "nst."
+_SPACE, _WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]+"
+_RUN = f"(?:{_WORD}{_SPACE}+){{0,{LONGEST - 1}}}?[^\\x20\\x09-\\x0D]*[{ENDINGS}](?:{_SPACE}+|\\z)|(?:{_WORD}{_SPACE}*){{1,{LONGEST}}}"
+ROWS_PER_BUCKET, MOST_BUCKETS = 2000, 4096
 
 
 def _node(x: Column) -> Column:
@@ -29,8 +31,9 @@ def _node(x: Column) -> Column:
 
 
 def _leaves(paragraph: Column) -> Column:
-    chunks = F.regexp_extract_all(paragraph, F.lit("(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){1,%d}" % LEAF), F.lit(0))
-    return F.transform(chunks, lambda c: F.right(F.lpad(F.lower(F.hex(F.crc32(F.rtrim(c).cast("binary")))), 8, "0"), F.lit(6)))
+    words, runs = F.regexp_extract_all(paragraph, F.lit(_WORD), F.lit(0)), F.regexp_extract_all(paragraph, F.lit(_RUN), F.lit(0))
+    chunks = F.when(F.regexp_count(paragraph, F.lit(_WORD)) < SHORT, words).otherwise(F.transform(runs, lambda c: F.regexp_replace(c, f"{_SPACE}+\\z", "")))
+    return F.transform(chunks, lambda c: F.left(_node(c), F.lit(6)))
 
 
 def _let(value: Column, body) -> Column:
@@ -74,13 +77,16 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of the paragraphs that differ: sections with equal nodes are passed over."""
+    """Numbers, from 0, of the paragraphs of a that b does not have: equal roots are not looked into, and of the others only paragraphs whose
+    node is nowhere among b's are named, so an inserted paragraph marks no later one."""
     def nodes(fp: Column) -> Column:
         return F.filter(F.split(fp, " "), lambda x: x.startswith("P"))
 
-    pairs = F.transform(F.arrays_zip(nodes(a).alias("x"), nodes(b).alias("y")), lambda p, i: F.struct(i.alias("i"), p["x"].eqNullSafe(p["y"]).alias("same")))
-    found = F.transform(F.filter(pairs, lambda p: ~p["same"]), lambda p: p["i"])
-    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(found)
+    def missing(theirs: Column) -> Column:
+        told = F.transform(nodes(a), lambda x, i: F.when(~F.array_contains(theirs, x), i))
+        return F.filter(told, lambda i: i.isNotNull())
+
+    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(_let(nodes(b), missing))
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,7 +4,9 @@ A classifier learnt from the label table predicts how much each document belongs
 Gaussians over character shares and presence of the words that tell the domains apart. Then nonnegative rates,
 one a document, are fitted by projected-gradient least squares: each step sums rate * tokens * posterior by domain
 over all documents (one small aggregate), compares it with the targets, and moves every rate against its
-own share of the error, not below zero. Rates start at 1, so they stay as near to 1 as the targets allow.
+own share of the error, not below zero. Rates start at 1, so they stay as near to 1 as the targets allow. An error weighs by the inverse
+of its domain's natural share, so rare domains move as fast as frequent ones and no step overshoots. Steps end when every domain is within `NEAR` of
+its target; if `STEPS` of them do not get there (posteriors that overlap too much), a warning tells the largest error left.
 
 Domains are the labels' classes, `q<quality>t<toxic>`. Cases: null text has no tokens and rate 1 or its prior's; no labels,
 or none that join: one domain, all rates 1; targets of domains that do not occur are dropped and the others
@@ -15,6 +17,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,7 +27,7 @@ from .common import row_key, written
 
 #: Shares of tokens after mixing. The label classes not named here keep their natural share.
 TARGETS = {"q1t0": 0.96, "q0t0": 0.02, "q1t1": 0.02}
-SAMPLE, LEXICON, STEPS, SHRINK = 8000, 24, 25, 1e-3
+SAMPLE, LEXICON, STEPS, NEAR, NESTED, SALTS = 8000, 24, 60, 1e-4, 8, 32
 _SHARES = ("symbols", "capitals", "letters")
 
 
@@ -60,7 +63,10 @@ def fit_classifier(own: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> d
     everywhere = sum(F.col(f"d{i}") for i in range(len(domains)))
     gain = [F.col(f"d{i}") * F.log2((F.col(f"d{i}") + 0.5) / float(r["n"] + 1) / ((everywhere - F.col(f"d{i}") + 0.5) / float(size - r["n"] + 1))) for i, r in enumerate(stats)]
     ranked = in_domain.where(everywhere >= max(5, size // 2000)).select("*", F.posexplode(F.array(*gain)).alias("domain", "gain")).where("gain > 0")
-    top = ranked.withColumn("nth", F.row_number().over(W.partitionBy("domain").orderBy(F.desc("gain"), "w"))).where(F.col("nth") <= LEXICON).drop("nth", "domain", "gain").distinct().collect()
+    # the best of each of SALTS parts of a domain's words first, so that no task ranks all of them
+    nth = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("gain"), "w"))
+    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(SALTS))).withColumn("nth", nth("domain", "salt")).where(F.col("nth") <= LEXICON)
+    top = salted.withColumn("nth", nth("domain")).where(F.col("nth") <= LEXICON).drop("nth", "salt", "domain", "gain").distinct().collect()
     return {
         "domains": domains, "n": [r["n"] for r in stats],
         "gauss": [[(r[f"a_{c}"], max(r[f"v_{c}"] or 0.0, 1e-4)) for c in _SHARES] for r in stats],
@@ -97,7 +103,8 @@ def posteriors(model: dict) -> list[Column]:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
-    """(id, k, tokens, domain, domain_p, rate, copies): copies is the rate rounded up or down, at odds by its fraction, by a hash of the row."""
+    """(id, k, tokens, domain, domain_p, posteriors, rate, copies): posteriors is a map by domain; copies is the rate rounded up or down, at odds by
+    its fraction, by a hash of the row."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", row_key("id", "text"))
     model = fit_classifier(own, labels) or {"domains": ["all"], "n": [1], "gauss": [[(0.0, 1.0)] * len(_SHARES)], "lexicon": {}}
     names = model["domains"]
@@ -118,16 +125,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     free = sum(s for i, s in enumerate(share) if i not in asked)
     scale = (1 - free) / sum(asked.values()) if sum(asked.values()) > 0 else 0.0
     want = [asked[i] * scale if i in asked else s for i, s in enumerate(share)]
-    rate: Column = F.lit(1.0)
-    for _ in range(steps if len(names) > 1 else 0):
-        error = [(s / total - w) for s, w in zip(sums(rate), want)]
-        if max(map(abs, error)) < 1e-4:
+    told, rate, error = told.withColumn("r", F.lit(1.0)), F.col("r"), [0.0]
+    for step in range(1, steps + 1 if len(names) > 1 else 1):
+        error = [s / total - w for s, w in zip(sums(rate), want)]
+        if max(map(abs, error)) < NEAR:
             break
-        # each domain's error weighs by the inverse of its share: rare domains move as fast as frequent ones
-        move = sum(F.col(f"p{i}") * float(e / (s + SHRINK)) for i, (e, s) in enumerate(zip(error, share)))
+        move = sum(F.col(f"p{i}") * float(e / s) for i, (e, s) in enumerate(zip(error, share)) if s > 0)
         rate = F.greatest(F.lit(0.0), rate - move)
+        if step % NESTED == 0:  # written, so that the expression does not grow with the steps
+            told, rate = written(told.withColumn("r", rate)), F.col("r")
+    else:
+        if max(map(abs, error)) >= NEAR:
+            warnings.warn(f"mixing: after {steps} steps a domain is {max(map(abs, error)):.2g} of all tokens from its target", stacklevel=2)
     best = F.array_max(F.array(*[F.col(f"p{i}") for i in range(len(names))]))
     domain = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(n)) for i, n in enumerate(names)])
     u = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    out = told.select("id", "k", "tokens", domain.alias("domain"), best.alias("domain_p"), rate.alias("rate"))
+    out = told.select("id", "k", "tokens", domain.alias("domain"), best.alias("domain_p"), F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"p{i}"))]).alias("posteriors"), rate.alias("rate"))
     return out.withColumn("copies", F.floor(F.col("rate") + u).cast("int")).withColumnRenamed("id", id_col)

@@ -159,10 +159,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         for b in batches:
             seen = [_seen(t) for t in texts_of(b)]
             fx = [features(w, m, memo) for w, m in seen]
-            yield pa.record_batch({"f": pa.array([f.tobytes() for f, _ in fx], pa.binary()), "x": pa.array([x.tobytes() for _, x in fx], pa.binary()),
+            yield pa.record_batch({"k": b.column(0), "f": pa.array([f.tobytes() for f, _ in fx], pa.binary()), "x": pa.array([x.tobytes() for _, x in fx], pa.binary()),
                                    "y": pa.array([good.get(votes(m), share) for _, m in seen], pa.float64())})
 
-    rows = own.select("k", "text").join(F.broadcast(chosen), "k", "left_semi").mapInArrow(featured, "f binary, x binary, y double").limit(sample).collect()
+    rows = own.select("k", "text").join(F.broadcast(chosen), "k", "left_semi").mapInArrow(featured, "k long, f binary, x binary, y double").dropDuplicates(["k"]).collect()
+    rows.sort(key=lambda r: r["k"])  # the same order, and so the same model, whichever task is first
     model = spark.sparkContext.broadcast(train(rows))
     goods = spark.sparkContext.broadcast((share, good))
 

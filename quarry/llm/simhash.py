@@ -96,9 +96,10 @@ class Cover:
         return np.concatenate(out_i), np.concatenate(out_a)
 
 
-def blocks_for(n: int, radius: int) -> list[tuple[int, Cover]]:
-    """(shift, cover) of each block: three blocks at first, two wider ones where fingerprints are many."""
-    sizes = [22, 21, 21] if n < 1 << 25 else [32, 32]
+def blocks_for(n: int, radius: int, wide: bool | None = None) -> list[tuple[int, Cover]]:
+    """(shift, cover) of each block: three blocks, or two wider ones, by themselves where fingerprints are many. Both find every link."""
+    wide = n >= 1 << 25 if wide is None else wide
+    sizes = [32, 32] if wide else [22, 21, 21]
     t = radius // len(sizes)
     shifts = np.cumsum([0, *sizes[:-1]])
     return [(int(s), Cover(w, 1 if w < 30 else 2, t)) for s, w in zip(shifts, sizes)]
@@ -132,10 +133,9 @@ def _compare(h: np.ndarray, r: np.ndarray, radius: int):
     return values[moved], values[root[moved]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), distinct fingerprints joined by links within radius bits: enough of them to span every component."""
-    n = fps.count()
-    blocks = blocks_for(n, radius)
+def links(fps: DataFrame, radius: int = RADIUS, wide: bool | None = None) -> DataFrame:
+    """(a, b), distinct fingerprints joined by links within radius bits: enough of them to span every component. wide: see blocks_for()."""
+    blocks = blocks_for(fps.count() if wide is None else 0, radius, wide)
 
     def deal(batches):
         for batch in batches:
@@ -208,12 +208,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if pairs.isEmpty():
             break
         both = pairs.union(pairs.select("v", "u")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low_x = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
+        large = both.where("y > x").join(low_x.hint("shuffle_merge"), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         step = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = written(step)
+        freed(low_x)
         same = (new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
                 == pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         freed(pairs)
@@ -231,5 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(fingerprints(docs, id_col, text_col, shingle, seed))
     roots = components(links(marked.select("fp").distinct(), radius))
     placed = marked.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("id").alias("component"))
-    return placed.join(least, "root").select(F.col("id").alias(id_col), "k", "fp", "root", "component")
+    # written, so that both sides of the join are plain exchanges and the partition of a large group can be split
+    placed = written(placed)
+    least = written(placed.groupBy("root").agg(F.min("id").alias("component")))
+    return placed.join(least.hint("shuffle_merge"), "root").select(F.col("id").alias(id_col), "k", "fp", "root", "component")

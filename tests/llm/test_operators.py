@@ -151,6 +151,20 @@ def test_simhash_links_in_dense_groups(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_simhash_links_by_both_coverings(spark, wide):
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(6)})
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = {r["fp"] % (1 << 64): r["root"] % (1 << 64) for r in simhash.components(simhash.links(frame, wide=wide)).collect()}
+    groups, expected = {}, {}
+    for f, root in zip(fps, _components(fps, 4)):
+        groups.setdefault(found.get(f, f), set()).add(f)
+        expected.setdefault(root, set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -258,6 +272,57 @@ def test_mixing(spark, docs, empty):
     assert abs(weight["q0t0"] / weight.sum() - 0.5) < 0.02
 
 
+def test_mixing_is_projected_gradient_least_squares(spark):
+    """Rates from the returned posteriors by the same method in numpy; expected totals meet the targets, rare domains included."""
+    rng = random.Random(4)
+    kinds = {0: ["alpha", "beta", "gamma"], 1: ["DELTA", "EPSILON"], 2: ["zz!!", "yy!!"]}
+    rows = [(i, " ".join(rng.choice(kinds[k] if rng.random() < 0.9 else ["alpha"]) for _ in range(30 + i % 40))) for i in range(600) for k in [2 if i % 100 == 0 else int(i % 5 == 0)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    told = spark.createDataFrame([(i, int(i % 5 > 0 and i % 100 > 0), int(i % 100 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(frame, told, {"q0t0": 0.3, "q1t0": 0.65, "q0t1": 0.05}).toPandas().sort_values("doc_id")
+    names = sorted(got.posteriors.iloc[0])
+    p = np.array([[m[n] for n in names] for m in got.posteriors])
+    t, r = got.tokens.to_numpy(), np.ones(len(got))
+    assert np.abs(p.sum(1) - 1).max() < 1e-9 and (got.domain_p - p.max(1)).abs().max() < 1e-12
+    share = (t[:, None] * p).sum(0) / t.sum()
+    want = np.array([{"q0t0": 0.3, "q1t0": 0.65, "q0t1": 0.05}[n] for n in names])
+    for _ in range(60):
+        error = (t[:, None] * r[:, None] * p).sum(0) / t.sum() - want
+        if np.abs(error).max() < 1e-4:
+            break
+        r = np.maximum(0, r - p @ (error / share))
+    assert np.abs(r - got.rate.to_numpy()).max() < 1e-6
+    assert np.abs((t[:, None] * got.rate.to_numpy()[:, None] * p).sum(0) / t.sum() - want).max() < 1e-4
+
+
+def test_weak_labels_by_enumeration():
+    """Posteriors of the model are Bayes' rule over its accuracies, and these are what the posteriors make them: a fixed point."""
+    rng = np.random.default_rng(2)
+    m = len(quality.CUTS)
+    patterns = Counter()
+    for _ in range(4000):
+        good = rng.random() < 0.9
+        votes = [2 if rng.random() < 0.2 else int(good if rng.random() < (0.97 if good else 0.6) else not good) for _ in range(m)]
+        patterns[sum(v * 3**i for i, v in enumerate(votes))] += 1
+    share, p, posterior = quality.weak_label_model(dict(patterns))
+    weight = {1: 0.0, 0: 0.0}
+    for key, n in patterns.items():
+        a, b = share, 1 - share
+        for i in range(m):
+            v = key // 3**i % 3
+            a, b = a * (p[i, 1, v] if v != 2 else 1), b * (p[i, 0, v] if v != 2 else 1)
+        assert posterior[key] == pytest.approx(a / (a + b), abs=1e-4)
+        weight[1] += n * posterior[key]
+        weight[0] += n * (1 - posterior[key])
+    assert share == pytest.approx(weight[1] / 4000, abs=1e-3) and abs(share - 0.9) < 0.05
+    for i in range(m):
+        for c in (0, 1):
+            voted = [sum(n * (posterior[k] if c else 1 - posterior[k]) for k, n in patterns.items() if k // 3**i % 3 == v) for v in (0, 1)]
+            smooth = [0.1, 1.0] if c else [1.0, 0.1]
+            expected = (voted[0] + smooth[0]) / (sum(voted) + sum(smooth))
+            assert p[i, c, 0] == pytest.approx(min(expected, 0.25) if c else expected, abs=2e-3)
+
+
 def test_language(spark, docs, empty):
     assert language.identify(empty).count() == 0
     got = {r["doc_id"]: r for r in language.identify(docs).collect()}

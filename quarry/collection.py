@@ -59,9 +59,9 @@ def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, path: str, name: str, resolver: Callable[[str], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, path: str, name: str, resolver: Callable[[str], DataFrame] | None = None, compression: str | None = None):
         self.spark, self.name, self.resolver = spark, name, resolver
-        self.store = Store(spark, path)
+        self.store = Store(spark, path, compression)
         self.indexes: dict[str, dict] = {}
         self.text_index: str | None = None
         self.bulk: list[dict] | None = None

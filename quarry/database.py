@@ -14,7 +14,7 @@ from .transaction import Transaction
 
 class Database:
     def __init__(self, spark: SparkSession, path: str, **options):
-        """Options of other engines (cache sizes, locks, compression hooks) are accepted; Parquet and Spark's settings stand for them."""
+        """compression: the codec of snapshots. Options of other engines (cache sizes, locks) are accepted; Spark's settings stand for them."""
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
         self.files = Files(spark, path)
         self.files.make(self.path)
@@ -26,7 +26,7 @@ class Database:
         if not self.is_open:
             raise QueryError("the database is closed")
         if name not in self._open:
-            self._open[name] = Collection(self.spark, f"{self.path}/{check_name(name)}", name, self.frame)
+            self._open[name] = Collection(self.spark, f"{self.path}/{check_name(name)}", name, self.frame, self.options.get("compression"))
         return self._open[name]
 
     def collection_v2(self, name: str, passphrase: str | None = None, key: bytes | None = None) -> EncryptedCollection:

@@ -109,14 +109,17 @@ def skip(f: Frame, n: object) -> Frame:
 def densify(f: Frame, spec: dict) -> Frame:
     """Rows that hold the field alone, for every step of the range (bounds included) that no row has; sorted by the field.
 
-    bounds: [low, high], "full" (the field's own range), or "partition" (the range of each partition of partitionByFields).
+    bounds: [low, high], "full" (the field's own range), or "partition" (the range of each partition of partitionByFields). A field of
+    dates or timestamps takes a step in range.unit (millisecond to week).
     """
     field, bounds = spec["field"], spec["range"]["bounds"]
     step, by = spec["range"]["step"], list(spec.get("partitionByFields", []))
     if isinstance(step, bool) or not isinstance(step, (int, float)) or not (step > 0 and math.isfinite(step)):
         raise QueryError("$densify needs a step above 0")
-    if f.scope.kind(field) not in ("number", "missing"):
-        raise QueryError("$densify needs a numeric field")
+    if f.scope.kind(field) == "time":
+        return _densify_time(f, spec)
+    if f.scope.kind(field) not in ("number", "missing") or "unit" in spec["range"]:
+        raise QueryError("$densify needs a numeric field, or one of times and a unit")
     t = f.scope.type(field) or T.DoubleType()
     value = f.scope.col(field).cast(t)
     if isinstance(bounds, (list, tuple)):
@@ -146,10 +149,30 @@ def densify(f: Frame, spec: dict) -> Frame:
     return sort(f.to(out, keep_order=False), {field: 1})
 
 
+#: Microseconds of the units of time that have a fixed length.
+UNITS = {"millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6, "week": 7 * 86400 * 10**6}
+
+
+def _densify_time(f: Frame, spec: dict) -> Frame:
+    """As for numbers, on microseconds since 1970."""
+    field, span = spec["field"], spec["range"]
+    if "." in field:
+        raise QueryError("$densify of times takes a field of the document itself")
+    if span.get("unit") not in UNITS:
+        raise QueryError(f"$densify of times needs a unit: {', '.join(UNITS)}")
+    t = f.df.schema[field].dataType
+    moment = lambda c: F.unix_micros(c.cast("timestamp"))
+    bounds = span["bounds"]
+    if isinstance(bounds, (list, tuple)):
+        bounds = list(f.df.sparkSession.range(1).select(*[moment(F.lit(x)).alias(f"b{i}") for i, x in enumerate(bounds)]).first())
+    numbers = f.to(f.df.withColumn(field, moment(column(field))), keep_order=False)
+    out = densify(numbers, spec | {"range": {"bounds": bounds, "step": int(span["step"] * UNITS[span["unit"]])}})
+    return sort(f.to(out.df.withColumn(field, F.timestamp_micros(field).cast(t)), keep_order=False), {field: 1})
+
+
 def facet(f: Frame, spec: dict, run) -> Frame:
-    """One row of arrays: each branch is gathered in its own order. The input is read once per branch, from the cache."""
-    source = f.to(f.df.cache())
-    rows = []
+    """One row of arrays: each branch is gathered in its own order. Branches read the input each for itself, so each scans only its own columns."""
+    source, rows = f, []
     for name, stages in spec.items():
         out = run(source, stages)
         # rows keep the place that a sort gave them, even where its keys were projected away

@@ -93,6 +93,10 @@ def _densified(spark: SparkSession, d: str, by: str | list) -> DataFrame:
 _add("densify_partition", f"WITH g AS ({_GROUPED}), e AS (SELECT b, min(s) AS lo, max(s) AS hi FROM g GROUP BY 1), x AS (SELECT b, unnest(range(lo, hi + 1, 5))::BIGINT AS s FROM e) SELECT b, s::BIGINT AS s, n FROM g UNION ALL SELECT b, s, NULL FROM x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.b = x.b AND g.s = x.s)", lambda s, d: _densified(s, d, "partition"))
 _add("densify_full", f"WITH g AS ({_GROUPED}), e AS (SELECT min(s) AS lo, max(s) AS hi FROM g), x AS (SELECT b, unnest(range(lo, hi + 1, 5))::BIGINT AS s FROM e, (SELECT DISTINCT b FROM g)) SELECT b, s::BIGINT AS s, n FROM g UNION ALL SELECT b, s, NULL FROM x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.b = x.b AND g.s = x.s)", lambda s, d: _densified(s, d, "full"))
 
+_add("densify_time", "WITH g AS (SELECT date_trunc('hour', ts) AS t, count(*) AS n FROM events WHERE event_type = 'click' AND value > 40 GROUP BY 1), e AS (SELECT min(t) AS lo, max(t) AS hi FROM g), x AS (SELECT unnest(generate_series(lo, hi, INTERVAL 2 HOUR)) AS t FROM e) SELECT epoch_ms(t) AS t, n FROM g UNION ALL SELECT epoch_ms(t), NULL FROM x WHERE t NOT IN (SELECT t FROM g)",
+     lambda s, d: aggregate(find(_table(s, d, "events"), {"event_type": "click", "value": {"$gt": 40}}).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(F.count(F.lit(1)).alias("n")),
+                            [{"$densify": {"field": "t", "range": {"bounds": "full", "step": 2, "unit": "hour"}}}]).select(F.unix_millis(F.col("t").cast("timestamp")).alias("t"), "n"))
+
 _add("window_running_all", "SELECT event_id, round(sum(value) OVER w, 2) AS run, count(*) OVER w AS n, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
      lambda s, d: aggregate(_table(s, d, "events"), [{"$setWindowFields": {"sortBy": {"ts": 1, "event_id": 1}, "output": {"run": {"$sum": "$value"}, "n": {"$count": {}}, "lo": {"$min": "$value"}, "hi": {"$max": "$value"}}}}])
      .select("event_id", F.round("run", 2).alias("run"), F.col("n").cast("long").alias("n"), "lo", "hi"))

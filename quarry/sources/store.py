@@ -65,8 +65,9 @@ class Files:
 class Store:
     """The newest `_v` marker is the current version: publishing creates the next marker, which only one writer can."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.root = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compression: str | None = None):
+        """compression: a codec of Parquet (snappy, zstd, gzip, none); None is Spark's own setting."""
+        self.spark, self.root, self.compression = spark, path.rstrip("/"), compression
         self.files = Files(spark, path)
         self.files.make(self.root)
 
@@ -84,7 +85,8 @@ class Store:
     def stage(self, df: DataFrame) -> str:
         """Write the files of a snapshot that nobody sees yet; its folder's name."""
         name = f"s-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
+        writer = df.write.option("compression", self.compression) if self.compression else df.write
+        writer.parquet(f"{self.root}/{name}")
         return name
 
     def publish(self, name: str, expected: int) -> int:

@@ -380,8 +380,14 @@ class Collection:
                 self._commit(self.df())
 
     def compact(self) -> int:
-        """Rewrite the snapshot in fewer files and drop old versions."""
-        self.store.commit(self.store.read().coalesce(max(1, self.store.files.size(self.store.snapshot() or self.store.root) // (128 << 20))))
+        """Rewrite the snapshot in fewer files and drop old versions. Documents are laid out by the fields of the first index (else by _id), so
+        that a filter on them skips files and row groups by their statistics."""
+        df = self.store.read()
+        scope = Scope(df.schema)
+        fields = next((i["fields"] for i in self.indexes.values()), ["_id"])
+        keys = [scope.col(p) for p in fields if scope.type(p) is not None] or [scope.col("_id")]
+        files_wanted = max(1, self.store.files.size(self.store.snapshot() or self.store.root) // (128 << 20))
+        self.store.commit(df.repartitionByRange(files_wanted, *keys).sortWithinPartitions(*keys))
         return self.store.vacuum()
 
     def flush(self) -> None:

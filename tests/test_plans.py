@@ -124,3 +124,41 @@ def test_import_counts_every_bad_line(spark, tmp_path):
     out = Database.open(spark, str(tmp_path / "db")).collection("c").import_from(str(tmp_path / "x.ndjson"))
     assert (out.total, out.inserted, out.skipped) == (2401, 1200, 1201)
     assert [e["line"] for e in out.errors[:3]] == [1, 3, 5]
+
+
+def test_migration_in_batches(spark, tmp_path):
+    from quarry.migrate import MigrationRunner
+
+    c = Database.open(spark, str(tmp_path)).collection("c")
+    c.insert_many([{"_id": f"k{i}", "n": i, "_schemaVersion": 1 if i % 2 else 2} for i in range(10)])
+    runner, seen = MigrationRunner(c), []
+    up = lambda df: df.withColumn("n", F.col("n") + 100)
+    assert runner.migrate(2, up, dry_run=True)["pending"] == 5 and runner.count_pending(2) == 5
+    assert runner.migrate(2, up, batch_size=2, timeout=0)["timedOut"] and runner.count_pending(2) == 3
+    out = runner.migrate(2, up, batch_size=2, on_progress=seen.append)
+    assert out["migrated"] == 3 and seen == [2, 3] and runner.is_complete(2)
+    assert sorted(r["n"] for r in c.df().collect()) == sorted(i + 100 if i % 2 else i for i in range(10))
+    assert runner.migrate(3, up, filter={"n": {"$lt": 5}})["migrated"] == 3 and runner.count_pending(3) == 7
+    with pytest.raises(QueryError):
+        runner.migrate(0, up)
+
+
+def test_compaction_lays_out_by_the_index(spark, tmp_path):
+    c = Database.open(spark, str(tmp_path), compression="zstd").collection("c")
+    c.insert_many([{"_id": str(i), "n": (i * 37) % 100} for i in range(100)])
+    c.create_index("n")
+    c.compact()
+    assert [r["n"] for r in c.store.read().collect()] == sorted((i * 37) % 100 for i in range(100))
+    assert all(".zstd." in n for n in c.store.files.names(c.store.snapshot()) if n.endswith(".parquet"))
+
+
+def test_metrics_by_collection():
+    from quarry.metrics import Observability
+
+    o = Observability()
+    for i in range(1, 11):
+        o.record("find", i, collection="a")
+        o.record("find", 10 * i, ok=i != 3, collection="b")
+    told = o.report()
+    assert told["collections"]["a"]["find"]["p50"] == 5 and told["collections"]["b"]["find"]["errors"] == 1 and told["operations"]["find"]["count"] == 20
+    assert 'quarry_operations_total{collection="b",op="find"} 10' in o.to_prometheus()

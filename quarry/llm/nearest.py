@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -74,21 +75,22 @@ def encode(x: np.ndarray, book: np.ndarray, eta: float, passes: int = 2) -> np.n
     return codes.astype(np.uint8)
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes a byte; there are as many parts as make whole bytes."""
+    return codes[:, 0::2] << 4 | codes[:, 1::2]
+
+
 def scan(queries: np.ndarray, codes: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """Approximate products, two four-bit codes a look-up."""
+    """Approximate products from packed codes: a look-up in a table of 256 sums for each byte."""
     tables = np.stack([queries[:, p * PART : (p + 1) * PART] @ b.T for p, b in enumerate(book)], axis=1).astype(np.float32)
     out = np.zeros((len(queries), len(codes)), np.float32)
-    for p in range(0, len(book), 2):
-        if p + 1 < len(book):
-            both = (tables[:, p, :, None] + tables[:, p + 1, None, :]).reshape(len(queries), WORDS * WORDS)
-            out += np.take(both, codes[:, p].astype(np.intp) * WORDS + codes[:, p + 1], axis=1)
-        else:
-            out += np.take(tables[:, p], codes[:, p].astype(np.intp), axis=1)
+    for j in range(codes.shape[1]):
+        both = (tables[:, 2 * j, :, None] + tables[:, 2 * j + 1, None, :]).reshape(len(queries), WORDS * WORDS)
+        out += np.take(both, codes[:, j], axis=1)
     return out
 
 
 def valid(v: Column) -> Column:
-    v = v.cast("array<double>")
     return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
@@ -100,7 +102,8 @@ def _matrix(batch: pa.RecordBatch, name: str, d: int) -> np.ndarray:
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP, reranked: int = RERANKED) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by `every`, its `top` nearest other rows."""
     spark = vectors.sparkSession
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & valid(F.col("v")))
+    kind = "array<float>" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "array<double>"  # floats travel as they are
+    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where(F.col("id").isNotNull() & valid(F.col("v")))
     most = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = most["d"] if most else PART
     own = own.where(F.size("v") == d)
@@ -108,7 +111,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     members = written(own.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top + 1).withColumn("class", F.min("id").over(order)))
     classes = members.where("nth = 1").select("class", "v")
     n, n_queries = classes.count(), own.where(F.col("id") % every == 0).count()
-    padded = -(-d // PART) * PART
+    padded = -(-d // (2 * PART)) * 2 * PART
     sample = classes.orderBy(F.xxhash64("v"), "class").limit(SAMPLE).collect()
     x = np.zeros((len(sample), padded))
     if len(sample):
@@ -120,11 +123,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         for b in batches:
             rows = np.zeros((b.num_rows, padded))
             rows[:, :d] = _matrix(b, "v", d)
-            codes = encode(rows, book.value, eta)
+            codes = packed(encode(rows, book.value, eta))
             yield pa.record_batch({"class": b.column(0), "v": b.column(1), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
 
     groups, blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    indexed = classes.mapInArrow(index, "class long, v array<double>, code binary")
+    indexed = classes.mapInArrow(index, f"class long, v {kind}, code binary")
     left = indexed.select(F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "class", "v", "code")
     right = own.where(F.col("id") % every == 0).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.col("id").alias("query"), F.col("v").alias("q"))
 

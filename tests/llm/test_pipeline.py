@@ -77,3 +77,70 @@ def test_linked_is_all_pairs():
                 parent = [new if g == old else g for g in parent]
     got = near_copies.linked(sets)
     assert len(set(got)) == len(set(parent)) == len(set(zip(got, parent))) and 6 < len(set(got)) < 120
+
+
+def test_each_stage_by_brute_force(spark, tmp_path):
+    """Every stage on what the one before it kept: nulls, empty texts, repeated rows, near copies, shared passages and junk."""
+    import zlib
+    from collections import Counter
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.llm.mixing import mix
+
+    passage = _text(999, 45)
+    texts = [_text(i, 120) for i in range(30)] + [_text(40 + i, 30) + " " + passage + " " + _text(60 + i, 30) for i in range(6)]
+    texts += [t[:-5] + " end" for t in texts[:5]] + [None, "", "  ", "One.", texts[2], texts[2].upper()] + ["!!*** $$$ " * 30 + str(i) for i in range(4)]
+    rows = [(3 * i + 1, t, "en" if i % 4 else None, "s", 0, "more") for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7], (None, _text(77, 50), None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, k string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], int("!!" not in (r[1] or "")), int(i % 9 == 0)) for i, r in enumerate(rows) if r[0] and i % 2], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    judged = p.quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d).cache()
+    assert told(judged) == sorted(((r[0], r[1]) for r in rows if "!!" not in (r[1] or "")), key=str)
+
+    kept = p.near_dedup(spark, judged, d).cache()
+    own = sorted({(r["doc_id"], r["text"] or "") for r in judged.collect()}, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [_set(t) if t.split() else set() for _, t in own]
+    group = list(range(len(own)))
+    for a in range(len(own)):
+        for b in range(a):
+            if sets[a] == sets[b] or sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert [(i, t or "") for i, t in told(kept)] == sorted((own[g] for g in set(group)), key=str) and len(set(group)) < len(own) - 5
+
+    cut = p.cut_repeats(spark, kept, d).cache()
+    seen, expected = set(), []
+    for i, t in sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=lambda r: (r[0] is None, r[0] or 0)):
+        words = (t or "").split()
+        gone = [False] * len(words)
+        for s in range(len(words) - 19):
+            if (key := tuple(words[s : s + 20])) in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(key)
+        expected.append((i, " ".join(w for w, g in zip(words, gone) if not g) if any(gone) else t))
+    assert told(cut) == sorted(expected, key=str) and expected != told(kept)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in cut.collect())
+
+    mixed = p.mixed(spark, cut, d).cache()
+    rates = {(r["doc_id"], r["k"]): r for r in mix(cut, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    copies = Counter(told(mixed))
+    keyed = {(r["doc_id"], r["k"]): (r["doc_id"], r["text"]) for r in cut.select("doc_id", "text", row_key("doc_id", "text").alias("k")).collect()}
+    assert set(keyed) == set(rates) and all(copies[row] == rates[k]["copies"] and abs(rates[k]["copies"] - rates[k]["rate"]) < 1 for k, row in keyed.items())
+
+    packed = p.packed(spark, mixed, d).collect()
+    tok, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for (i, t), n in copies.items():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for at, s in enumerate(range(0, len(ids), 2048)):
+            pieces[i, at, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())] += n
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == pieces
+    by = {}
+    for r in packed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= 2048 for x in by.values())
+    assert len(by) == -(-sum(r["length"] for r in packed) // 2048)

@@ -6,7 +6,8 @@ one a document, are fitted by projected-gradient least squares: each step sums r
 over all documents (one small aggregate), compares it with the targets, and moves every rate against its
 own share of the error, not below zero. Rates start at 1, so they stay as near to 1 as the targets allow. An error weighs by the inverse
 of its domain's natural share, so rare domains move as fast as frequent ones and no step overshoots. Steps end when every domain is within `NEAR` of
-its target; if `STEPS` of them do not get there (posteriors that overlap too much), a warning tells the largest error left.
+its target, when `STALL` of them have not made the largest error a twentieth smaller (the targets cannot be met: posteriors overlap too much, or a
+domain's rates are all zero), or after `STEPS`; a warning then tells the error left.
 
 Domains are the labels' classes, `q<quality>t<toxic>`. Cases: null text has no tokens and rate 1 or its prior's; no labels,
 or none that join: one domain, all rates 1; targets of domains that do not occur are dropped and the others
@@ -27,7 +28,7 @@ from .common import row_key, written
 
 #: Shares of tokens after mixing. The label classes not named here keep their natural share.
 TARGETS = {"q1t0": 0.96, "q0t0": 0.02, "q1t1": 0.02}
-SAMPLE, LEXICON, STEPS, NEAR, NESTED, SALTS = 8000, 24, 60, 1e-4, 8, 32
+SAMPLE, LEXICON, STEPS, NEAR, STALL, NESTED, SALTS = 8000, 24, 60, 1e-4, 5, 8, 32
 _SHARES = ("symbols", "capitals", "letters")
 
 
@@ -125,18 +126,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     free = sum(s for i, s in enumerate(share) if i not in asked)
     scale = (1 - free) / sum(asked.values()) if sum(asked.values()) > 0 else 0.0
     want = [asked[i] * scale if i in asked else s for i, s in enumerate(share)]
-    told, rate, error = told.withColumn("r", F.lit(1.0)), F.col("r"), [0.0]
+    told, rate, far = told.withColumn("r", F.lit(1.0)), F.col("r"), [0.0]
     for step in range(1, steps + 1 if len(names) > 1 else 1):
         error = [s / total - w for s, w in zip(sums(rate), want)]
-        if max(map(abs, error)) < NEAR:
+        far.append(max(map(abs, error)))
+        if far[-1] < NEAR or step > STALL and far[-1] > 0.95 * far[-1 - STALL]:
             break
         move = sum(F.col(f"p{i}") * float(e / s) for i, (e, s) in enumerate(zip(error, share)) if s > 0)
         rate = F.greatest(F.lit(0.0), rate - move)
         if step % NESTED == 0:  # written, so that the expression does not grow with the steps
             told, rate = written(told.withColumn("r", rate)), F.col("r")
-    else:
-        if max(map(abs, error)) >= NEAR:
-            warnings.warn(f"mixing: after {steps} steps a domain is {max(map(abs, error)):.2g} of all tokens from its target", stacklevel=2)
+    if far[-1] >= NEAR:
+        warnings.warn(f"mixing: a domain stays {far[-1]:.2g} of all tokens from its target", stacklevel=2)
     best = F.array_max(F.array(*[F.col(f"p{i}") for i in range(len(names))]))
     domain = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(n)) for i, n in enumerate(names)])
     u = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)

@@ -54,9 +54,9 @@ def _dealt(queue: dict[int, list], chars: np.ndarray, pos: np.ndarray) -> None:
     """Append positions to the queue of each one's bucket, keeping their order."""
     order = np.argsort(chars, kind="stable")
     c, p = chars[order], pos[order]
-    cut = np.flatnonzero(np.diff(c)) + 1
-    for part, first in zip(np.split(p, cut), c[np.concatenate([[0], cut])].tolist()):
-        queue.setdefault(first, []).append(part)
+    cut = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+    for first, a, b in zip(c[cut[:-1]].tolist(), cut, cut[1:]):
+        queue.setdefault(first, []).append(p[a:b])
 
 
 def suffix_array(s: np.ndarray, depth: int = 1 << 62) -> np.ndarray:

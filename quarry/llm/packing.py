@@ -31,7 +31,7 @@ from .common import row_key, rows_by_size, texts_of, written
 
 CAPACITY, END = 2048, 0
 ETA, LARGE, CLASS, STEP, REST, SEED = 0.1, 1.0, 256, 0.75, 0.3, 7
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 
 class PlainIds:
@@ -57,7 +57,7 @@ class WordIds:
     PUNCTUATION = b".,;:!?*$%#&"
     MARK, PROBE = b"\x01", 64
 
-    def __init__(self, tokenizer, told: dict, limit: int = 800_000):
+    def __init__(self, tokenizer, told: dict, limit: int = 600_000):
         import tiktoken
 
         self.tok, self.limit = tokenizer, limit
@@ -85,7 +85,6 @@ class WordIds:
 
     def _forget(self) -> None:
         self.runs: dict[bytes, int] = {}
-        self.bases: dict[bytes, bytes] = {b"": b""}
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -99,7 +98,9 @@ class WordIds:
         """Letters that have one lower case and are their own normal form."""
         return text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text))
 
-    def _learn_bases(self, new: list[bytes]) -> None:
+    def _encoded(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each, as bytes."""
+        out = {b"": b""}
         texts = [(x, x.decode("utf-8", "replace")) for x in new]
         words = [(x, t.lower()) for x, t in texts if self._latin(t)]
         if words:
@@ -111,10 +112,11 @@ class WordIds:
             told = self.tok.encode_batch_fast([t for _, t in sample], add_special_tokens=False)
             if len(cuts) != len(words) or any(np.array(e.ids, "<u4").tobytes() != found[x] for (x, _), e in zip(sample, told)):
                 raise RuntimeError("word by word encoding differs from the tokenizer")
-            self.bases.update(found)
-        rest = [(x, t) for x, t in texts if x not in self.bases]
+            out.update(found)
+        rest = [(x, t) for x, t in texts if x not in out]
         for (x, _), e in zip(rest, self.tok.encode_batch_fast([t for _, t in rest], add_special_tokens=False) if rest else []):
-            self.bases[x] = np.array(e.ids, dtype="<u4").tobytes()
+            out[x] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
     def _places(self, runs: list[bytes]) -> np.ndarray:
         """The number of each different run, learning those that are new."""
@@ -124,8 +126,8 @@ class WordIds:
             missing = runs
         if missing:
             parts = [self._split(w) for w in missing]
-            self._learn_bases([x for x in {x for pair in parts for x in pair} if x not in self.bases])
-            raw = [self.bases[a] + self.bases[b] for a, b in parts]
+            told = self._encoded(list({x for pair in parts for x in pair}))
+            raw = [told[a] + told[b] for a, b in parts]
             lot, count = np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], dtype=np.int64)
             while self.used + len(lot) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from .common import Memo, row_key, texts_of, words_of, written
 
 SAMPLE, DIM, MIN_WORDS, THRESHOLD = 4000, 1 << 14, 8, 0.5
+KNOWN = 200_000  # words that a task remembers; beyond that it forgets all and learns anew
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _UPPER, _SYMBOLS = bytes(range(65, 91)), bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".,;:'\"-()?")
 _SHAPE = bytes(65 if 65 <= x <= 90 else 97 if 97 <= x <= 122 or x >= 128 else 48 if 48 <= x <= 57 else x for x in range(256))
@@ -115,7 +116,7 @@ def word_features() -> Memo:
         short = shape.replace(b"aaaa", b"a").replace(b"aa", b"a").replace(b"AAAA", b"A").replace(b"AA", b"A")
         return np.array([_hash(b"w" + w), _hash(b"s" + short), _hash(b"e" + w[-3:])], dtype=np.uint32).tobytes()
 
-    return Memo(make)
+    return Memo(make, KNOWN)
 
 
 def _seen(text: bytes):
@@ -171,7 +172,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         w, bias = model.value
         base, known = goods.value
         memo = word_features()
-        worth = Memo(lambda x: float(w[np.frombuffer(memo.make(x), np.uint32)].sum()))
+        worth = Memo(lambda x: float(w[np.frombuffer(memo.make(x), np.uint32)].sum()), KNOWN)
         extra = Memo(lambda im: 0.5 * float(w[_hash(b"m%d:%d" % im)]))
         for b in batches:
             s, weak = [], []

@@ -40,6 +40,9 @@ class PlainIds:
     def __init__(self, tokenizer):
         self.tok = tokenizer
 
+    def forget(self) -> None:
+        """Nothing is learnt."""
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         return np.concatenate([*found, np.zeros(0, "<u4")]), np.array([len(x) for x in found], dtype=np.int64)
@@ -48,7 +51,7 @@ class PlainIds:
 class WordIds:
     """The same for tokenizers of the kind `covers` tells, run by run: a text's ids are those of its runs without ASCII white space, joined.
 
-    Each different run is learnt once a worker (beyond `limit` runs all is forgotten, so memory stays flat). White space and case are
+    Each different run is learnt once a task (beyond `limit` runs all is forgotten, so memory stays flat). White space and case are
     folded by these tokenizers and no token spans a letter and the punctuation after it, so a run is looked up without either. Words
     of Latin letters go through `tiktoken` with the same merges, where a byte that they do not hold marks the word's end; all other runs
     through `tokenizers` itself. Every lot of words is compared with `tokenizers` on a sample, and any difference raises.
@@ -72,7 +75,7 @@ class WordIds:
         self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.ends[[i for t, i in ranks.items() if len(t) > 1 and t.endswith(self.MARK)]] = True
         self.fast = tiktoken.Encoding("words", pat_str="[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
-        self._forget()
+        self.forget()
 
     @staticmethod
     def covers(told: dict) -> bool:
@@ -83,7 +86,8 @@ class WordIds:
                 and steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and [x.get("type") for x in split] == ["Split", "ByteLevel"]
                 and split[0].get("pattern", {}).get("Regex", "").endswith("[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+") and not split[1].get("add_prefix_space") and not told.get("post_processor"))
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """What is learnt goes: at the end of a task, so that a worker does not hold it through the stages after."""
         self.runs: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -122,7 +126,7 @@ class WordIds:
         """The number of each different run, learning those that are new."""
         missing = [w for w in runs if w not in self.runs]
         if len(self.runs) + len(missing) > self.limit:
-            self._forget()
+            self.forget()
             missing = runs
         if missing:
             parts = [self._split(w) for w in missing]
@@ -159,7 +163,7 @@ _LEARNT: dict[str, PlainIds | WordIds] = {}
 
 
 def word_ids(tokenizer_path: str) -> PlainIds | WordIds:
-    """One for each Python worker, so that its later tasks know the words of earlier ones."""
+    """One for each Python worker, as loading takes time."""
     if tokenizer_path not in _LEARNT:
         from tokenizers import Tokenizer
 
@@ -196,6 +200,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             take = pa.array(row, pa.int64())
             yield pa.record_batch({"id": b.column(0).take(take), "k": b.column(2).take(take), "piece": pa.array(piece, pa.int32()),
                                    "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+        memo.forget()
 
     return own.mapInArrow(cut, T.StructType([own.schema["id"], T.StructField("k", T.LongType()), T.StructField("piece", T.IntegerType()),
                                              T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))

@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grams, mixed, row_key, rows_by_size, sliding_min, texts_of, word_hashes, words_of
+from .common import give_back, grams, lots, mixed, row_key, sliding_min, word_hashes, words_of
 
 GRAM = 8
 ROWS = 2
+#: Bytes of text that are split into words at once, of chunks whose equal windows meet, and words whose hashes a task remembers.
+LOT_BYTES, CHUNK_BYTES, MEMO_WORDS = 500_000, 2_000_000, 100_000
 SLICE_BITS = 20
 #: Cells of a sketch row at most; the merged bits are then ROWS * 2**27 / 8 bytes = 32 MB. A fuller sketch only filters less.
 MAX_BITS = 27
@@ -68,7 +70,7 @@ def _cells(low: np.ndarray, bits: int):
 
 def _sketcher(bits: int, window: int):
     def sketch(batches):
-        memo, held, n = word_hashes(), [[] for _ in range(ROWS)], 0
+        memo, held, n = word_hashes(MEMO_WORDS), [[] for _ in range(ROWS)], 0
 
         def flush():
             for r in range(ROWS):
@@ -85,16 +87,17 @@ def _sketcher(bits: int, window: int):
                         "cells": pa.array([x.tobytes() for x in np.split(low, cut)], pa.binary())})
 
         for batch in batches:
-            texts = texts_of(batch)
-            for i, j in rows_by_size(texts, 2_000_000):
-                *_, low, new = _windows(texts[i:j], memo, window)
+            for _, _, texts in lots(batch, LOT_BYTES):
+                *_, low, new = _windows(texts, memo, window)
                 for r, cells in _cells(low[new], bits):
                     held[r].append(cells)
                 n += int(new.sum())
-                if n > 3_000_000:
+                if n > 1_000_000:
                     yield from flush()
                     n = 0
+        memo.clear()
         yield from flush()
+        give_back()
 
     return sketch
 
@@ -159,12 +162,11 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(table)
 
     def suspects(batches):
-        memo, bitmaps = word_hashes(), shared.value
+        memo, bitmaps = word_hashes(MEMO_WORDS), shared.value
         for batch in batches:
-            texts = texts_of(batch)
             ids, keys = batch.column(0), batch.column(1).to_numpy()
-            for i, j in rows_by_size(texts, 2_000_000):
-                h, counts, at, low, _ = _windows(texts[i:j], memo, window)
+            for i, j, texts in lots(batch, CHUNK_BYTES):
+                h, counts, at, low, _ = _windows(texts, memo, window)
                 hit = np.ones(len(at), dtype=bool)
                 for r, cells in _cells(low, bits):
                     c = cells.astype(np.int64)
@@ -195,6 +197,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                         "hi": pa.array(hi[part].view(np.int64)), "lo": pa.array(lo[part].view(np.int64)),
                         "id": ids.take(take[part]), "k": pa.array(keys[(doc + i)[part]]), "start": pa.array(start[part]),
                         "later": pa.nulls(len(hi[part]), pa.list_(pa.int32()))})
+        memo.clear()
+        give_back()
 
     rows = docs.select("id", "k", "text").mapInArrow(suspects, T.StructType([
         T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), docs.schema["id"],
@@ -210,24 +214,26 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 def _cutter(window: int, schema: pa.Schema):
     def cut(batches):
         for batch in batches:
-            texts = texts_of(batch)
-            kept, n_words, n_removed = [], [], []
-            for t, starts in zip(texts, batch.column(batch.schema.get_field_index("starts"))):
-                words = words_of(t)
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if starts.is_valid and len(starts):
-                    s = np.unique(starts.values.to_numpy(zero_copy_only=False))
-                    np.add.at(gone, s, 1)
-                    np.add.at(gone, s + window, -1)
-                    cover = np.cumsum(gone)[: len(words)] > 0
-                    n_removed.append(int(cover.sum()))
-                    kept.append(b" ".join([w for w, c in zip(words, cover.tolist()) if not c]))
-                else:
-                    n_removed.append(0)
-                    kept.append(b" ".join(words))
-                n_words.append(len(words))
-            new = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[f] if f in new else batch.column(batch.schema.get_field_index(f)) for f in schema], names=schema)
+            marks = batch.column(batch.schema.get_field_index("starts"))
+            for i, j, texts in lots(batch, LOT_BYTES):
+                kept, n_words, n_removed = [], [], []
+                for t, starts in zip(texts, marks.slice(i, j - i)):
+                    words = words_of(t)
+                    gone = np.zeros(len(words) + 1, dtype=np.int64)
+                    if starts.is_valid and len(starts):
+                        s = np.unique(starts.values.to_numpy(zero_copy_only=False))
+                        np.add.at(gone, s, 1)
+                        np.add.at(gone, s + window, -1)
+                        cover = np.cumsum(gone)[: len(words)] > 0
+                        n_removed.append(int(cover.sum()))
+                        kept.append(b" ".join([w for w, c in zip(words, cover.tolist()) if not c]))
+                    else:
+                        n_removed.append(0)
+                        kept.append(b" ".join(words))
+                    n_words.append(len(words))
+                new = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+                yield pa.RecordBatch.from_arrays([new[f] if f in new else batch.column(batch.schema.get_field_index(f)).slice(i, j - i) for f in schema], names=schema)
+        give_back()
 
     return cut
 

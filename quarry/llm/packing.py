@@ -27,11 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, rows_by_size, texts_of, written
+from .common import give_back, lots, row_key, written
 
 CAPACITY, END = 2048, 0
 ETA, LARGE, CLASS, STEP, REST, SEED = 0.1, 1.0, 256, 0.75, 0.3, 7
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 class PlainIds:
@@ -181,10 +181,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def cut(batches):
         memo = word_ids(tokenizer_path)
         for b in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            texts = texts_of(b)
-            for first, last in rows_by_size(texts, CHUNK_BYTES):
-                ids, count = memo.encode(texts[first:last])
+            for first, _, texts in lots(b, CHUNK_BYTES):
+                row, piece, start, length, crc = [], [], [], [], []
+                ids, count = memo.encode(texts)
                 ends = np.cumsum(count)
                 whole = np.insert(ids, ends, END).astype("<u4").tobytes()
                 at = 0
@@ -197,10 +196,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         length.append(size)
                         crc.append(zlib.crc32(whole[4 * (at + s) : 4 * (at + s + size)]))
                     at += n
-            take = pa.array(row, pa.int64())
-            yield pa.record_batch({"id": b.column(0).take(take), "k": b.column(2).take(take), "piece": pa.array(piece, pa.int32()),
-                                   "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                take = pa.array(row, pa.int64())
+                yield pa.record_batch({"id": b.column(0).take(take), "k": b.column(2).take(take), "piece": pa.array(piece, pa.int32()),
+                                       "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
         memo.forget()
+        give_back()
 
     return own.mapInArrow(cut, T.StructType([own.schema["id"], T.StructField("k", T.LongType()), T.StructField("piece", T.IntegerType()),
                                              T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))

@@ -1,8 +1,11 @@
 """Operators read, hold and yield texts lot by lot, and workers give back what a task has taken."""
 
+import random
+
 import pyarrow as pa
+import pytest
 
-from quarry.llm import common, substring_dedup
+from quarry.llm import common, packing, substring_dedup
 
 
 def test_lots_are_whole_and_bounded():
@@ -25,3 +28,21 @@ def test_repeats_are_cut_in_lots_of_texts():
     for row, t, s in zip(pa.Table.from_batches(out).to_pylist(), texts, starts, strict=True):
         words = (t or "").split()
         assert (row["kept_text"], row["n_words"], row["n_removed"]) == (" ".join(words[:5] + words[29:] if s else words), len(words), 24 if s else 0)
+
+
+def test_pieces_come_in_lots_of_texts(spark, monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    rng, held = random.Random(3), []
+    texts = [None if i % 9 == 4 else " ".join(f"{rng.choice(['Tree', 'ash', 'Öl', '42'])}{rng.choice(',. ')}" for _ in range(12_000)) for i in range(80)]
+    frame = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: held.append(f))
+    packing.pieces(frame, path)
+    batch = pa.record_batch({"id": pa.array(range(80)), "text": pa.array(texts), "k": pa.array(range(80))})
+    memo = packing.word_ids(path)
+    most, encode = [], memo.encode
+    monkeypatch.setattr(memo, "encode", lambda lot: (most.append(sum(map(len, lot))), encode(lot))[1])
+    out = pa.Table.from_batches(held[0](iter([batch]))).to_pylist()
+    assert len(most) > 1 and max(most) <= 2_000_000 and sum(most) == sum(len((t or "").encode()) for t in texts) > 4_000_000
+    assert not memo.runs
+    whole = [memo.tok.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert [(r["id"], r["piece"], r["start"], r["length"]) for r in out] == [(i, p, s, min(2048, len(w) - s)) for i, w in enumerate(whole) for p, s in enumerate(range(0, len(w), 2048))]
